@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, pages, secrets
+from . import bpe, decontaminate, langid, linededup, pages, secrets, shingles
 from .common import crc_bucket, documents
 
 
@@ -42,6 +42,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", crc_bucket("doc_id", 3) == 1).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(documents(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op7_line_dedup": op7_line_dedup,
         "op8_language_id": op8_language_id,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_main_text": op10_main_text,
     }
 
