@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, pages, secrets, shingles
+from . import bpe, decontaminate, embeddings, langid, linededup, pages, secrets, shingles
 from .common import crc_bucket, documents
 
 
@@ -31,6 +31,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op4_decontamination": op4_decontamination,
         "op5_bpe": op5_bpe,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_language_id": op8_language_id,
         "op9_jaccard_join": op9_jaccard_join,
