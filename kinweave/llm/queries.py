@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, langid, linededup, pages, secrets, shingles
+from . import bpe, brown, decontaminate, embeddings, langid, linededup, pages, secrets, shingles
 from .common import crc_bucket, documents
 
 
@@ -18,6 +18,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_score": op1_brown_score,
         "op2_secret_scan": op2_secret_scan,
         "op4_decontamination": op4_decontamination,
         "op5_bpe": op5_bpe,
