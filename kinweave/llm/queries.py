@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, embeddings, langid, linededup, pages, secrets, shingles
+from . import bpe, brown, decontaminate, embeddings, langid, licenses, linededup, pages, secrets, shingles
 from .common import crc_bucket, documents
 
 
@@ -26,6 +26,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_score": op1_brown_score,
         "op2_secret_scan": op2_secret_scan,
+        "op3_license_scan": op3_license_scan,
         "op4_decontamination": op4_decontamination,
         "op5_bpe": op5_bpe,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
