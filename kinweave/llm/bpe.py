@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import transducer
-from .common import Memo, arrow_map, batch_of, narrow, texts_of
+from .common import Memo, arrow_map, batch_of, cut, kept, narrow, texts_of
 
 # Fixed values of the tokenizer's format: the white space that its normaliser folds, and the pieces it splits text into.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,8 +29,9 @@ WORDS = re.compile(f"[^{SPACE}]+")
 #: str.split() takes these for white space; the tokenizer doesn't.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-#: Words in the lexicon, distinct words remembered by a worker, distinct words a task counts before it passes them on.
-LEXICON_WORDS, MEMO_WORDS, COUNT_WORDS = 65_536, 150_000, 200_000
+#: Words in the lexicon, distinct words and pieces of words remembered by a worker, distinct words a task counts before it passes them on.
+LEXICON_WORDS, MEMO_WORDS, MEMO_PIECES, COUNT_WORDS = 65_536, 700_000, 400_000, 300_000
+NEVER = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -52,10 +53,11 @@ class Merges:
         letters = byte_letters()
         self.first = [self.vocab[c] for c in letters]
         self.end = [self.vocab[c + self.suffix] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: For a pair of ids, rank << 32 | new id: the least is the merge that comes first.
+        self.pairs: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.pairs.setdefault((self.vocab[a], self.vocab[b]), rank << 32 | self.vocab[a + b])
 
     @classmethod
     def load(cls, path: str) -> Merges:
@@ -67,40 +69,48 @@ class Merges:
         ids = [self.first[b] for b in piece[:-1]] + [self.end[piece[-1]]]
         if len(ids) > 48:
             return self._encode_long(ids)
-        pairs = self.pairs
-        while len(ids) > 1:
-            best = min((found for pair in zip(ids, ids[1:]) if (found := pairs.get(pair))), default=None)
-            if best is None:
-                break
-            rank, new = best
-            for i in range(len(ids) - 1):
-                if (found := pairs.get((ids[i], ids[i + 1]))) and found[0] == rank:
-                    ids[i : i + 2] = [new]
-                    break
+        get = self.pairs.get
+        ranks = [get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & 0xFFFFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
         return ids
 
     def _encode_long(self, ids: list[int]) -> list[int]:
         n, pairs = len(ids), self.pairs
         before, after = [*range(-1, n - 1)], [*range(1, n), -1]
-        heap = [(found[0], i, pair, found[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (found := pairs.get(pair))]
+        heap = [(found, i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if (found := pairs.get(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair, new = heapq.heappop(heap)
+            best, i, pair = heapq.heappop(heap)
             j = after[i]
             if j < 0 or ids[i] < 0 or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = best & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (found := pairs.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, (ids[a], ids[b]), found[1]))
+                if a >= 0 and b >= 0 and (found := pairs.get((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (found, a, (ids[a], ids[b])))
         return [x for x in ids if x >= 0]
 
 
 def pieces_of(word: str) -> list[str]:
     """The pieces of a word without white space, normalised: composed, lower case letter by letter."""
+    # Letters alone, or with one sign at the end, need no expression.
+    if word.isascii():
+        if word.isalpha():
+            return [word.lower()]
+        if word[:-1].isalpha() and not word[-1].isdigit():
+            return [word[:-1].lower(), word[-1]]
+    elif word.isalpha() and unicodedata.is_normalized("NFC", word) and "Σ" not in word and (low := word.lower()).isalpha():
+        return [low]
     # The normaliser lower-cases letters one by one; str.lower() knows a final sigma.
     return PIECES.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
 
@@ -122,11 +132,11 @@ def frequent_words(df: DataFrame, text: str = "text", most: int = LEXICON_WORDS)
         def flush() -> pa.RecordBatch:
             pieces: Counter = Counter()
             for word, n in seen.items():
-                for piece in pieces_of(word):
-                    pieces[piece] += n
+                if n > 1:
+                    for piece in pieces_of(word):
+                        pieces[piece] += n
             seen.clear()
-            kept = [(p, n) for p, n in pieces.items() if n > 1]
-            return batch_of(["piece", "n"], [pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())])
+            return batch_of(["piece", "n"], [pa.array([*pieces], pa.string()), pa.array([*pieces.values()], pa.int64())])
 
         for batch in batches:
             for value in batch.column(0):
@@ -136,8 +146,20 @@ def frequent_words(df: DataFrame, text: str = "text", most: int = LEXICON_WORDS)
                         yield flush()
         yield flush()
 
-    counted = narrow(df, text=text).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(most).collect()]
+    counted = cut(narrow(df, text=text).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    # Counts are graded first, so that no more than `most` pieces come to the driver, from however many tasks.
+    grade = F.floor(F.log2("n") * 16)
+    least, room = None, most
+    for r in sorted(counted.groupBy(grade.alias("grade")).count().collect(), reverse=True):
+        if (room := room - r["count"]) < 0:
+            break
+        least = r.grade
+    return [] if least is None else sorted(r.piece for r in counted.where(grade >= least).select("piece").collect())
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers, which is also this machine's order."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _special_split(text: str, special: re.Pattern | None) -> list[str]:
@@ -157,37 +179,36 @@ def bpe(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id
     packed = transducer.build(entries)
     # The driver's file server hands the file to every executor, also to those that join later.
     name = f"lexicon-{hashlib.sha256(packed).hexdigest()[:24]}.bin"
-    folder = tempfile.mkdtemp(prefix="kinweave-")
-    with open(os.path.join(folder, name), "wb") as file:
-        file.write(packed)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    if not any(os.path.basename(path) == name for path in spark.sparkContext.listFiles):
+        path = os.path.join(tempfile.mkdtemp(prefix="kinweave-"), name)
+        with open(path, "wb") as file:
+            file.write(packed)
+        spark.sparkContext.addFile(path)
     shared = spark.sparkContext.broadcast(merges)  # as large as the tokenizer file
-    fresh: dict = {}
 
     def encoder():
-        if not fresh:
-            own, lexicon = shared.value, transducer.Lexicon(SparkFiles.get(name))
+        own, lexicon = shared.value, transducer.Lexicon(SparkFiles.get(name))
 
-            def word(w: str) -> tuple[bytes, str]:
-                ids: list[int] = []
-                for piece in pieces_of(w):
-                    raw = piece.encode("utf-8")
-                    ids += own.encode(raw) if (found := lexicon.get(raw)) is None else found
-                return struct.pack(f"<{len(ids)}I", *ids), " ".join([own.names[i] for i in ids])
+        def one(piece: str) -> bytes:
+            raw = piece.encode("utf-8")
+            return pack_ids(own.encode(raw)) if (found := lexicon.get(raw)) is None else found
 
-            special = re.compile("(" + "|".join(map(re.escape, sorted(own.special, key=len, reverse=True))) + ")") if own.special else None
-            fresh.update(memo=Memo(word, MEMO_WORDS), special=special, ids={k: (struct.pack("<I", v), k) for k, v in own.special.items()})
-        return fresh["memo"], fresh["special"], fresh["ids"]
+        pieces = Memo(one, MEMO_PIECES)
+        special = re.compile("(" + "|".join(map(re.escape, sorted(own.special, key=len, reverse=True))) + ")") if own.special else None
+        names = [own.names.get(i, "") for i in range(max(own.names) + 1)]
+        return Memo(lambda word: b"".join([pieces[p] for p in pieces_of(word)]), MEMO_WORDS), special, {k: pack_ids([v]) for k, v in own.special.items()}, names
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo, special, special_ids = encoder()
+        memo, special, special_ids, names = kept("bpe", name + tokenizer, encoder)
         ids, decoded = [], []
         for x in texts_of(batch.column("text")):
-            found = []
-            for k, part in enumerate(_special_split(x, special)):
-                found += [special_ids[part]] if k % 2 else [memo[w] for w in words_of(part)]
-            ids.append(b"".join([f[0] for f in found]))
-            decoded.append(" ".join([f[1] for f in found if f[1]]))
+            parts = _special_split(x, special)
+            if len(parts) == 1:
+                packed = b"".join([memo[w] for w in words_of(x)])
+            else:
+                packed = b"".join([special_ids[part] if k % 2 else b"".join([memo[w] for w in words_of(part)]) for k, part in enumerate(parts)])
+            ids.append(packed)
+            decoded.append(" ".join([names[i] for i in memoryview(packed).cast("I").tolist()]))
         return batch_of(["doc_id", "n_tokens", "ids", "decoded"], [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())])
 
     kind = df.schema[doc_id].dataType.simpleString()

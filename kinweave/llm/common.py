@@ -59,19 +59,33 @@ def crc_bucket(column: str, modulus: int):
 
 
 class Memo(dict):
-    """A dict that computes missing entries and forgets all of them when it holds more than `most`."""
+    """A dict that computes missing entries and holds about `most`: those in use stay, the others are forgotten."""
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(kind: str, key: str, make: Callable):
+    """What make() gives, once for each key in a Python worker, across its tasks; a new key of a kind replaces the old."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
+
+
 def prefix_sums(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts) + 1, dtype=np.int64)
     np.cumsum(counts, out=out[1:])

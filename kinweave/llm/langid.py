@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, batch_of, crc_bucket, narrow, texts_of
+from .common import Memo, arrow_map, batch_of, crc_bucket, kept, narrow, texts_of
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Longest and shortest n-grams for words that aren't known; training rows read, words and n-grams kept per language at most.
 LONGEST, SHORTEST, TRAIN_ROWS, MODEL_WORDS, MODEL_GRAMS = 5, 1, 4_000, 20_000, 30_000
-MEMO_WORDS, LONG_WORD = 150_000, 64
+MEMO_WORDS, LONG_WORD = 200_000, 64
 UNKNOWN = "und"
 
 
@@ -107,13 +108,14 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: dict[str, str
     """
     keep = keep or {}
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
-    fresh: dict = {}
+    key = uuid.uuid4().hex
+
+    def opened() -> tuple[list[str], Memo]:
+        own = shared.value.opened()
+        return own.languages, Memo(own.word, MEMO_WORDS)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not fresh:
-            own = shared.value.opened()
-            fresh.update(languages=own.languages, memo=Memo(own.word, MEMO_WORDS))
-        languages, memo = fresh["languages"], fresh["memo"]
+        languages, memo = kept("langid", key, opened)
         best, share = [], []
         for x in texts_of(batch.column(len(keep))):
             words = WORDS.findall(x.lower())

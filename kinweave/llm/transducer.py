@@ -131,13 +131,10 @@ class Lexicon:
     def __len__(self) -> int:
         return len(self.rests)
 
-    def _output(self, n: int) -> list[int]:
-        return self.flat[self.starts[n - 1] : self.starts[n]].tolist() if n else []
-
-    def get(self, word: bytes) -> list[int] | None:
-        """The ids of a word, or None if it isn't in the lexicon."""
-        state, ids = self.root, []
-        firsts, labels = self.firsts, self.labels
+    def get(self, word: bytes) -> bytes | None:
+        """The ids of a word, packed as 32-bit numbers of this machine's order, or None if it isn't in the lexicon."""
+        state, ids = self.root, b""
+        firsts, labels, outs, starts = self.firsts, self.labels, self.outs, self.starts
         for byte in word:
             low, end = firsts[state], firsts[state + 1]
             high = end
@@ -149,9 +146,9 @@ class Lexicon:
                     high = middle
             if low == end or labels[low] != byte:
                 return None
-            if out := self.outs[low]:
-                ids += self._output(out)
+            if n := outs[low]:
+                ids += self.flat[starts[n - 1] : starts[n]]
             state = self.targets[low]
         if not (rest := self.rests[state]):
             return None
-        return ids + self._output(rest - 1)
+        return ids + self.flat[starts[rest - 2] : starts[rest - 1]] if rest > 1 else ids
