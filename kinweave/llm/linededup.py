@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_of, cut, narrow, prefix_sums, texts_of
 from .components import components
 
-#: Edits between lines taken for the same; lines with fewer characters are left alone; entries a task holds before it passes them on.
-EDITS, MIN_CHARS, FLUSH = 2, 30, 1_500_000
+#: Edits between lines taken for the same; lines with fewer characters are left alone; entries a
+#: task holds before it passes them on; lines of a large group compared at a time.
+EDITS, MIN_CHARS, FLUSH, TILE = 2, 30, 1_500_000, 4_096
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -176,7 +177,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """a, b: hashes of different lines that meet at a segment, a < b.
+    """a, b: links between hashes of lines that meet at a segment, all to the least of those that do.
 
     Keys travel packed, a blob for each of `parts` parts of the key space and flush, and each part is matched by sorting.
     """
@@ -227,29 +228,64 @@ def _candidates(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
     def match(table: pa.Table) -> pa.Table:
         index, probe = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.uint64).reshape(-1, 2) for c in ("indexed", "probes"))
-        index = index[np.lexsort((index[:, 1], index[:, 0]))]
-        if len(index):
-            index = index[np.concatenate(([True], (index[1:] != index[:-1]).any(axis=1)))]
-        low, high = (np.searchsorted(index[:, 0], probe[:, 0], side) for side in ("left", "right"))
-        pairs, many, at = [], high - low, 0
-        while at < len(probe):
-            # As many probes at a time as give about a million meetings.
-            stop = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), 1_000_000, "right")) + at)
-            n = many[at:stop]
-            left = np.repeat(np.arange(at, stop), n)
-            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)
-            x, y = index[right, 1], probe[left, 1]
-            x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
-            if len(x):
-                pairs.append(np.unique(np.stack((x, y), axis=1), axis=0))
-            at = stop
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.uint64)
+        # A link for each entry to the least line that has its key, not one for each pair, as frequent segments have many.
+        keys, place = np.unique(index[:, 0], return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, probe[:, 0]), max(0, len(keys) - 1))
+        met = probe[keys[at] == probe[:, 0]] if len(keys) else probe[:0]
+        at = at[keys[at] == probe[:, 0]] if len(keys) else at[:0]
+        least = np.full(len(keys), np.uint64(2**64 - 1))
+        np.minimum.at(least, place, index[:, 1])
+        np.minimum.at(least, at, met[:, 1])
+        a, b = np.concatenate((index[:, 1], met[:, 1])), np.concatenate((least[place], least[at]))
+        found = np.unique(np.stack((a[a != b], b[a != b]), axis=1), axis=0)
         return pa.table({"a": found[:, 0].copy().view(np.int64), "b": found[:, 1].copy().view(np.int64)})
 
     packed = docs.select("text").mapInArrow(emit, "part int, indexed binary, probes binary")
     return packed.groupBy("part").applyInArrow(match, "a long, b long").distinct()
 
 
+def _pairs(lines: list[str], edits: int, min_chars: int) -> Iterator[tuple[int, int]]:
+    """Numbers of lines that share a segment where the join looks for it, a few at a time."""
+    index, index_of, probe, probe_of = keys_of(lines, edits, min_chars)
+    order = np.argsort(index, kind="stable")
+    index, index_of = index[order], index_of[order]
+    low, high = (np.searchsorted(index, probe, side) for side in ("left", "right"))
+    for k in np.flatnonzero(high > low):
+        for other in index_of[low[k] : high[k]]:
+            if other != probe_of[k]:
+                yield int(probe_of[k]), int(other)
+
+
+def _verify(edits: int, min_chars: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("h", "ascending")])
+        component, h = table.column("component").to_numpy(), table.column("h").to_numpy()
+        lines = [normal(x) for x in table.column("line").to_pylist()]
+        root = list(range(len(lines)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        edges = np.flatnonzero(np.concatenate(([True], component[1:] != component[:-1], [True])))
+        for low, high in zip(edges.tolist(), edges[1:].tolist()):
+            if high - low == 2:
+                if within(lines[low], lines[low + 1], edits):
+                    root[low + 1] = low
+                continue
+            for x, y in _pairs(lines[low:high], edits, min_chars):
+                # Lines that others link already need no comparing.
+                if (a := find(low + x)) != (b := find(low + y)) and within(lines[low + x], lines[low + y], edits):
+                    root[max(a, b)] = min(a, b)
+        tops = np.array([find(x) for x in range(len(lines))], dtype=np.int64)
+        linked = tops != np.arange(len(lines))
+        return pa.table({"a": h[linked], "b": h[tops[linked]]})
+
+    return run
+
+
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """The lines that belong to a class of two or more, and the keyed rows: (id, k, line_no, first), (id, text, k).
 
@@ -260,22 +296,20 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: in
     lines = cut(_lines(docs, min_chars))
     place = F.struct("id", "k", "line_no")
     distinct = cut(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    candidates = cut(_candidates(docs, edits, min_chars))
-    if not candidates.isEmpty():
-        wanted = candidates.select(F.col("a").alias("h")).unionByName(candidates.select(F.col("b").alias("h"))).distinct()
-        where = distinct.join(wanted, "h").select("h", "first.*")
-        held = docs.join(where.withColumnRenamed("id", "i"), (F.col("i").eqNullSafe(docs["id"])) & (where["k"] == docs["k"])).select("h", F.element_at(F.split("text", "\n"), F.col("line_no") + 1).alias("line"))
-        held = cut(held)
-        pairs = candidates.join(held.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(held.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-
-        def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good = [within(normal(x), normal(y), edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        same = components(arrow_map(pairs.select("a", "b", "x", "y"), verify, "a long, b long"))
-        joined = distinct.join(same.select(F.col("id").alias("h"), "component"), "h", "left")
-        firsts = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("f"))
-        distinct = joined.join(firsts, "component", "left").select("h", "h2", F.coalesce("f", "first").alias("first"), F.when(F.col("f").isNotNull(), 2).otherwise(F.col("n")).alias("n"))
+    met = components(_candidates(docs, edits, min_chars))
+    sizes = met.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    where = distinct.join(met.withColumnRenamed("id", "h"), "h").join(sizes, "component").select("h", "component", "tiles", F.col("first.id").alias("i_"), F.col("first.k").alias("k_"), F.col("first.line_no").alias("n_"))
+    held = docs.join(where, F.col("i_").eqNullSafe(F.col("id")) & (F.col("k_") == F.col("k"))).select("component", "tiles", "h", F.element_at(F.split("text", "\n"), F.col("n_") + 1).alias("line"))
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.withColumn("own", F.pmod("h", "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(
+        "component", "h", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("tiles") == 1, F.pmod("component", F.lit(parts))).otherwise(F.col("component")).alias("part"), (F.col("tiles") > 1).alias("large"),
+    ).dropDuplicates(["h", "i", "j"])
+    same = components(dealt.groupBy("large", "part", "i", "j").applyInArrow(_verify(edits, min_chars), "a long, b long"))
+    joined = distinct.join(same.select(F.col("id").alias("h"), "component"), "h", "left")
+    firsts = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("f"))
+    distinct = joined.join(firsts, "component", "left").select("h", "h2", F.coalesce("f", "first").alias("first"), F.when(F.col("f").isNotNull(), 2).otherwise(F.col("n")).alias("n"))
     shared = distinct.where("n > 1").select("h", "h2", "first")
     marked = lines.join(shared, ["h", "h2"]).select("id", "k", "line_no", (F.struct("id", "k", "line_no") == F.col("first")).alias("is_first"))
     return marked, docs
