@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import transducer
-from .common import Memo, arrow_map, batch_of, cut, kept, narrow, texts_of
+from .common import Memo, arrow_map, batch_of, cut, forget, kept, narrow, texts_of
 
 # Fixed values of the tokenizer's format: the white space that its normaliser folds, and the pieces it splits text into.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -127,6 +127,7 @@ def frequent_words(df: DataFrame, text: str = "text", most: int = LEXICON_WORDS)
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -199,7 +200,7 @@ def bpe(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id
         return Memo(lambda word: b"".join([pieces[p] for p in pieces_of(word)]), MEMO_WORDS), special, {k: pack_ids([v]) for k, v in own.special.items()}, names
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo, special, special_ids, names = kept("bpe", name + tokenizer, encoder)
+        memo, special, special_ids, names = kept(f"bpe {name} {tokenizer}", encoder)
         ids, decoded = [], []
         for x in texts_of(batch.column("text")):
             parts = _special_split(x, special)
@@ -212,7 +213,7 @@ def bpe(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id
         return batch_of(["doc_id", "n_tokens", "ids", "decoded"], [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return arrow_map(narrow(df, doc_id=doc_id, text=text), encode, f"doc_id {kind}, n_tokens long, ids binary, decoded string", rows=256)
+    return arrow_map(narrow(df, doc_id=doc_id, text=text), encode, f"doc_id {kind}, n_tokens long, ids binary, decoded string", rows=256, holds=True)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, crc_bucket, cut, kept, narrow, texts_of
+from .common import Memo, batch_of, crc_bucket, cut, forget, kept, narrow, texts_of
 
 #: Words that are clustered one by one, groups of the others by their ending, classes, sweeps over the words at most.
 CLUSTERED, ENDINGS, CLASSES, SWEEPS = 2_048, 256, 64, 8
@@ -70,6 +70,7 @@ def word_counts(train: DataFrame, parts: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -139,7 +140,7 @@ def bigrams(train: DataFrame, units: Units, parts: int) -> np.ndarray:
     shared, name, size = train.sparkSession.sparkContext.broadcast(units), uuid.uuid4().hex, units.size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = kept("units", name, lambda: Memo(shared.value.unit, MEMO_WORDS))
+        memo = kept(f"units {name}", lambda: Memo(shared.value.unit, MEMO_WORDS))
         square = np.zeros(size * size, dtype=np.uint32)
         waiting: list[int] = [0]
 
@@ -299,7 +300,7 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: in
         return Memo(look, MEMO_WORDS), own.steps, look(END)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, steps, end = kept("brown", name, opened)
+        memo, steps, end = kept(f"brown {name}", opened)
         row, wait_keys, wait_rows = TaskContext.get().partitionId() << 36, [], []
         names = ["row", "id", "held_out", "n_tokens", "n_known", "counted", "steps", "part", "packed"]
 

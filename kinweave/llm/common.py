@@ -20,10 +20,15 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow where batches of `rows` rows at most are each handled alone, so memory is bounded by that many texts."""
+def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512, holds: bool = False) -> DataFrame:
+    """mapInArrow where batches of `rows` rows at most are each handled alone, so memory is bounded by that many texts.
+
+    holds: per_batch uses kept().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            forget()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 if (out := per_batch(batch.slice(start, rows))) is not None and out.num_rows:
@@ -76,14 +81,32 @@ class Memo(dict):
         return value
 
 
-_KEPT: dict[str, tuple] = {}
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable):
+    """What make() gives, once for each key in a Python worker, across its tasks. A worker holds one such thing at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Lets go of what an earlier operator's tasks left in this worker."""
+    _KEPT.clear()
 
 
-def kept(kind: str, key: str, make: Callable):
-    """What make() gives, once for each key in a Python worker, across its tasks; a new key of a kind replaces the old."""
-    if kind not in _KEPT or _KEPT[kind][0] != key:
-        _KEPT[kind] = (key, make())
-    return _KEPT[kind][1]
+def in_portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to `most` at most, or hold a single one."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def prefix_sums(counts: np.ndarray) -> np.ndarray:

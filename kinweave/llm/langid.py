@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -36,18 +37,19 @@ class Model:
         self.gram_at = {g: i for i, g in enumerate(self.grams, len(self.words))}
         return self
 
-    def word(self, word: str) -> np.ndarray:
-        """A word's scores: its own frequencies if it is known, else the mean of the longest known n-grams from each letter on."""
+    def rows(self, word: str) -> bytes:
+        """The rows whose mean scores a word, packed: its own if it is known, else those of the longest known n-grams from each letter on."""
         if (at := self.word_at.get(word)) is not None:
-            return self.scores[at]
-        padded, found, at = f" {word} ", [], 0
-        while at < len(padded):
-            for size in range(min(LONGEST, len(padded) - at), SHORTEST - 1, -1):
-                if (gram := self.gram_at.get(padded[at : at + size])) is not None:
+            return np.int32(at).tobytes()
+        padded, found, at, get = f" {word} ", [], 0, self.gram_at.get
+        end, step = len(padded), 1 if len(padded) <= LONG_WORD else LONGEST
+        while at < end:
+            for size in range(min(LONGEST, end - at), SHORTEST - 1, -1):
+                if (gram := get(padded[at : at + size])) is not None:
                     found.append(gram)
                     break
-            at += 1 if len(padded) <= LONG_WORD else LONGEST
-        return self.scores[found].mean(axis=0) if found else np.zeros(len(self.languages))
+            at += step
+        return array("i", found).tobytes()
 
 
 def split_training(df: DataFrame, doc_id: str = "doc_id", modulus: int = 3, held: int = 1) -> DataFrame:
@@ -110,12 +112,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: dict[str, str
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
     key = uuid.uuid4().hex
 
-    def opened() -> tuple[list[str], Memo]:
+    def opened() -> tuple[list[str], np.ndarray, Memo]:
         own = shared.value.opened()
-        return own.languages, Memo(own.word, MEMO_WORDS)
+        return own.languages, own.scores, Memo(own.rows, MEMO_WORDS)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        languages, memo = kept("langid", key, opened)
+        languages, scores, memo = kept(f"langid {key}", opened)
         best, share = [], []
         for x in texts_of(batch.column(len(keep))):
             words = WORDS.findall(x.lower())
@@ -124,8 +126,10 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: dict[str, str
                 share.append(0.0)
                 continue
             counts = Counter(words)
-            rows = np.array([memo[w] for w in counts])
-            total = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ rows
+            rows = [memo[w] for w in counts]
+            each = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            weight = np.fromiter(counts.values(), np.float64, len(rows)) / np.maximum(each, 1)
+            total = np.repeat(weight, each) @ scores[np.frombuffer(b"".join(rows), np.int32)]
             weights = np.exp((total - total.max()) * (math.log(10) * min(10, len(words)) / len(words)))
             best.append(languages[winner := int(np.argmax(total))])
             share.append(float(weights[winner] / weights.sum()))
@@ -133,4 +137,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: dict[str, str
 
     schema = "".join(f"`{name}` {df.schema[source].dataType.simpleString()}, " for name, source in keep.items())
     rows = df.select(*[F.col(f"`{source}`").alias(f"k{i}") for i, source in enumerate(keep.values())], F.col(f"`{text}`").alias("t"))
-    return arrow_map(rows, score, schema + "lang_pred string, score double")
+    return arrow_map(rows, score, schema + "lang_pred string, score double", holds=True)

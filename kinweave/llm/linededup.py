@@ -15,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, cut, narrow, prefix_sums, texts_of
+from .common import arrow_map, batch_of, cut, forget, in_portions, narrow, prefix_sums, texts_of
 from .components import components
 
 #: Edits between lines taken for the same; lines with fewer characters are left alone; entries a
 #: task holds before it passes them on; lines of a large group compared at a time.
-EDITS, MIN_CHARS, FLUSH, TILE = 2, 30, 1_500_000, 4_096
+EDITS, MIN_CHARS, FLUSH, TILE = 2, 30, 1_000_000, 4_096
+#: Characters hashed at a time.
+PORTION = 1_000_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -38,16 +40,21 @@ def line_hash(line: str) -> int:
 
 
 class Powers:
-    """Powers of the hash base and its inverse modulo 2**64, as many as were asked for so far."""
+    """Powers of the hash base and its inverse modulo 2**64; as many as a portion of text needs are kept."""
 
     def __init__(self):
-        self.size, self.up, self.down = 0, None, None
+        self.made = None
+
+    @staticmethod
+    def make(n: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64)))) for b in (BASE, INVERSE))
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(n, 2 * self.size)
-            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(self.size, b, np.uint64)))) for b in (BASE, INVERSE))
-        return self.up, self.down
+        if n > PORTION + 1:
+            return self.make(n)
+        if self.made is None:
+            self.made = self.make(PORTION + 1)
+        return self.made
 
 
 POWERS = Powers()
@@ -184,6 +191,7 @@ def _candidates(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[list[np.ndarray]] = [[], [], [], []]
         seen: set[int] = set()
         size = 0
@@ -214,15 +222,15 @@ def _candidates(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                                 hashes.append(h)
                 if len(seen) > 200_000:
                     seen.clear()
-                if lines:
-                    own = np.array(hashes, dtype=np.uint64)
-                    index, index_of, probe, probe_of = keys_of(lines, edits, min_chars)
+                for a, b in in_portions([len(x) for x in lines], PORTION):
+                    own = np.array(hashes[a:b], dtype=np.uint64)
+                    index, index_of, probe, probe_of = keys_of(lines[a:b], edits, min_chars)
                     for place, x in zip(held, (index, own[index_of], probe, own[probe_of])):
                         place.append(x)
                     size += len(index) + len(probe)
-                    if size > FLUSH:
-                        size = 0
-                        yield flush()
+                if size > FLUSH:
+                    size = 0
+                    yield flush()
         if held[0]:
             yield flush()
 

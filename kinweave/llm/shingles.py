@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, cut, narrow, prefix_sums, texts_of
+from .common import arrow_map, batch_of, cut, in_portions, narrow, prefix_sums, texts_of
 from .components import components
-from .linededup import MIX, POWERS, normal
+from .linededup import MIX, PORTION, POWERS, normal
 
 WORDS, SIMILARITY, TREES, DEEPEST, RECALL = 5, 0.8, 20, 8, 0.995
 #: Sets in a tile of a large group; pairs up to which they are compared one by one.
@@ -36,6 +36,13 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     words has none.
     """
     lines = [normal(x) for x in texts]
+    parts = [_shingles(lines[a:b], words) for a, b in in_portions([len(x) for x in lines], PORTION)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    return np.concatenate([h for h, _ in parts]), prefix_sums(np.concatenate([np.diff(starts) for _, starts in parts]))
+
+
+def _shingles(lines: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     bounds = prefix_sums(sizes)
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
