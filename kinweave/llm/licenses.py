@@ -15,7 +15,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import cut, narrow
 
 #: N-grams of up to this many words, features at most, share of word pairs that confirms, precision that sets the threshold.
 LONGEST, FEATURES, CONFIRMS, PRECISION = 3, 4_096, 0.5, 0.99
@@ -114,9 +114,9 @@ def labelled() -> list[tuple[str, str]]:
 
 
 def _literal(spark: SparkSession, rows: list[tuple], schema: str, names: list[str]) -> DataFrame:
-    """A small table as a literal of the plan."""
+    """A small table, made once from a literal: later plans, and their descriptions, don't carry its text."""
     text = json.dumps([dict(zip(names, row)) for row in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+    return cut(spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>"))))
 
 
 def words_of(text: Column) -> Column:
@@ -140,7 +140,7 @@ class Model:
         self.families, self.grams, self.weights, self.intercepts, self.threshold = families, grams, weights, intercepts, threshold
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(g, [round(float(x), 6) for x in w]) for g, w in zip(self.grams, self.weights) if np.abs(w).max() > 0]
+        rows = [(g, [round(float(x), 4) for x in w]) for g, w in zip(self.grams, self.weights) if np.abs(w).max() >= 5e-5]
         return _literal(spark, rows, "gram: string, weights: array<double>", ["gram", "weights"])
 
 
@@ -206,24 +206,24 @@ def classify(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: M
     spark = df.sparkSession
     model = model or train(spark)
     docs = narrow(df, id=doc_id, text=text).withColumn("k", F.xxhash64("id", "text"))
-    units = paragraphs(docs.where("text is not null")).dropDuplicates(["id", "k", "unit"])
-    grams = units.select("id", "k", "unit", "words", F.explode(grams_of(F.col("words"))).alias("gram"))
+    # Candidates are kept, so the texts are read once. What is exploded carries nothing of the paragraph but its key.
+    units = cut(paragraphs(docs.where("text is not null")).dropDuplicates(["id", "k", "unit"])).withColumn("u", F.monotonically_increasing_id())
+    grams = units.select("u", F.explode(grams_of(F.col("words"))).alias("gram"))
     # The weights and templates are of fixed size; Spark sees that and broadcasts them.
     joined = grams.join(F.broadcast(model.table(spark)), "gram", "left")
     each = [F.coalesce(F.get("weights", i), F.lit(0.0)) for i in range(len(model.families))]
-    sums = joined.groupBy("id", "k", "unit").agg(*[F.sum(w).alias(f"w{i}") for i, w in enumerate(each)], F.first("words").alias("words"))
+    sums = joined.groupBy("u").agg(*[F.sum(w).alias(f"w{i}") for i, w in enumerate(each)])
     logits = F.array(*[F.col(f"w{i}") + float(b) for i, b in enumerate(model.intercepts)])
     powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    scored = sums.select("id", "k", "unit", "words", powers.alias("powers")).withColumn("best", F.array_position("powers", F.array_max("powers")).cast("int"))
+    scored = units.join(sums, "u").select("u", "id", "k", "unit", "words", powers.alias("powers")).withColumn("best", F.array_position("powers", F.array_max("powers")).cast("int"))
     named = scored.select(
-        "id", "k", "unit", "words", F.element_at(F.array(*map(F.lit, model.families)), F.col("best")).alias("named"), (F.array_max("powers") / F.aggregate("powers", F.lit(0.0), lambda a, b: a + b)).alias("probability")
+        "u", "id", "k", "unit", "words", F.element_at(F.array(*map(F.lit, model.families)), F.col("best")).alias("named"), (F.array_max("powers") / F.aggregate("powers", F.lit(0.0), lambda a, b: a + b)).alias("probability")
     ).withColumn("family", F.when((F.col("named") != NONE) & (F.col("probability") < model.threshold), UNKNOWN).otherwise(F.col("named")))
-    pairs = named.withColumn("pairs", F.array_distinct(_grams(F.col("words"), 2))).withColumn("m", F.size("pairs"))
-    met = pairs.where(~F.col("family").isin(NONE, UNKNOWN)).select("id", "k", "unit", "family", "m", F.explode("pairs").alias("pair")).join(F.broadcast(templates(spark)), ["family", "pair"])
-    shared = met.groupBy("id", "k", "unit", "template").agg((F.count(F.lit(1)) / F.least(F.first("m"), F.first("n"))).alias("shared")).groupBy("id", "k", "unit").agg(F.max("shared").alias("shared"))
-    keys = ["unit", "k"]
-    out = named.select("id", "k", "unit", "family", "probability").join(shared.select(F.col("id").alias("id_"), "k", "unit", "shared"), keys, "left").where("id_ is null or id_ <=> id")
-    return out.select("id", "k", "unit", "family", "probability", F.coalesce("shared", F.lit(0.0)).alias("shared"), (F.coalesce("shared", F.lit(0.0)) >= confirms).alias("confirmed"))
+    pairs = named.where(~F.col("family").isin(NONE, UNKNOWN)).select("u", "family", F.array_distinct(_grams(F.col("words"), 2)).alias("pairs"))
+    met = pairs.select("u", "family", F.size("pairs").alias("m"), F.explode("pairs").alias("pair")).join(F.broadcast(templates(spark)), ["family", "pair"])
+    shared = met.groupBy("u", "template").agg((F.count(F.lit(1)) / F.least(F.max("m"), F.max("n"))).alias("shared")).groupBy("u").agg(F.max("shared").alias("shared"))
+    out = named.join(shared, "u", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    return out.select("id", "k", "unit", "family", "probability", "shared", (F.col("shared") >= confirms).alias("confirmed"))
 
 
 def license_scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None, confirms: float = CONFIRMS) -> DataFrame:
