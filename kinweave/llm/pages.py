@@ -145,7 +145,7 @@ LABELLED = """
 1 5 0 4 100 12 0 1 0 | 1 1 0 60 0 60 0 0 0 | 1 30 0 80 0 0 0 0 0
 2 60 0 8 0 75 0 0 1 | 2 120 3 60 0 50 0 0 1 | 2 22 0 40 0 35 5 0 1 | 2 35 8 70 0 4 100 0 1 | 2 90 0 3 100 60 0 0 1
 2 7 0 4 100 60 0 1 1 | 2 5 0 80 0 70 0 1 1 | 2 8 0 90 0 85 0 0 1 | 2 4 0 60 0 45 0 0 1 | 2 18 0 7 0 50 0 0 1
-2 3 100 3 100 3 100 0 0 | 2 1 100 1 100 2 100 0 0 | 2 20 90 3 100 5 100 0 0 | 2 30 80 40 60 8 100 0 0 | 2 12 75 60 0 9 100 0 0
+2 2 100 0 0 1 0 1 0 | 2 2 100 0 0 1 0 0 0 | 2 3 100 0 0 5 0 0 0 | 2 1 100 50 0 0 0 0 0 | 2 4 100 80 0 0 0 0 0 | 2 5 0 3 100 60 0 1 1 | 2 1 0 2 100 60 0 1 1 | 2 3 100 3 100 3 100 0 0 | 2 1 100 1 100 2 100 0 0 | 2 20 90 3 100 5 100 0 0 | 2 30 80 40 60 8 100 0 0 | 2 12 75 60 0 9 100 0 0
 2 6 0 3 100 4 100 0 0 | 2 9 20 5 60 0 0 0 0 | 2 4 0 2 100 3 50 1 0 | 2 7 0 9 70 0 0 0 0 | 2 2 0 2 100 2 100 0 0
 3 60 0 8 0 75 0 0 1 | 3 1 0 40 0 30 0 0 1 | 3 1 0 0 0 1 0 0 1 | 3 5 0 0 0 3 0 1 1 | 3 2 0 2 0 2 0 0 1
 3 9 30 20 0 25 0 0 1 | 3 40 15 1 0 12 100 0 1 | 3 4 50 30 0 40 0 0 1 | 3 120 0 90 2 0 0 0 1 | 3 3 0 12 100 8 60 0 1
