@@ -1,12 +1,17 @@
 """Exact character-trigram TF-IDF retrieval: a similarity join that keeps the best references of each record.
 
-Postings of records and references meet on (country, field, gram), and products are summed by pair, partly before the
-shuffle. Nothing is approximate: every pair with a shared gram is scored. A frequent gram makes a large partition of the
-join, which Spark's adaptive execution splits (both sides are plain shuffles of a sort-merge join).
+There are two physical paths with the same results, and neither is approximate. In scores(), postings of records and
+references meet on (country, field, gram), and products are summed by pair, partly before the shuffle: every pair with a
+shared gram is scored. A frequent gram makes a large partition of the join, which Spark's adaptive execution splits (both
+sides are plain shuffles of a sort-merge join). In top_lists(), records and references are dealt into tiles, tiles are
+multiplied as matrices, and only the best k a query, mode and tile leave the task: what is shuffled afterwards grows with
+the queries, not with the pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +68,83 @@ def top_k(scored: DataFrame, mode: str, k: int = fixed.TOP_K) -> DataFrame:
     return scored.where(F.col(mode) > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("mode", F.lit(mode))
 
 
+def vectors(postings: DataFrame, key: str) -> DataFrame:
+    """(country, key, field, grams, weights): each record's weighted grams as hashes and numbers, packed for a tile."""
+    listed = F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w"))
+    return postings.groupBy("country", key, "field").agg(listed.alias("l")).select("country", key, "field", F.col("l.g").alias("grams"), F.col("l.w").alias("weights"))
+
+
+def _dense(table: pa.Table, rows: np.ndarray, number: np.ndarray, n: int, columns: np.ndarray) -> np.ndarray:
+    """A matrix of the rows' weights; grams that aren't among the columns are left out."""
+    out = np.zeros((n, len(columns)))
+    grams, weights = table.column("grams").combine_chunks(), table.column("weights").combine_chunks()
+    ends, values, numbers = grams.offsets.to_numpy(), grams.values.to_numpy(), weights.values.to_numpy()
+    for i, place in zip(rows.tolist(), number.tolist()):
+        g, w = values[ends[i] : ends[i + 1]], numbers[ends[i] : ends[i + 1]]
+        at = np.searchsorted(columns, g)
+        known = np.flatnonzero(columns[np.minimum(at, len(columns) - 1)] == g) if len(columns) else []
+        out[place, at[known]] = w[known]
+    return out
+
+
+def _best(table: pa.Table, k: int, name_weight: float) -> pa.Table:
+    """The best k of a tile's references for each of its queries and modes."""
+    is_query, ids, field = np.array(table.column("is_query").to_pylist(), bool), np.array(table.column("id").to_pylist(), object), np.array(table.column("field").to_pylist(), object)
+    q_ids, r_ids = (np.array(sorted(set(ids[side])), object) for side in (is_query, ~is_query))
+    names = ("country", "query_id", "ref_id", "name", "address", "combo", "mode")
+    grams = table.column("grams").combine_chunks()
+    ends, values = grams.offsets.to_numpy(), grams.values.to_numpy()
+    score = {}
+    for f in FIELDS:
+        q_rows, r_rows = np.flatnonzero(is_query & (field == f)), np.flatnonzero(~is_query & (field == f))
+        every = [np.unique(np.concatenate([values[:0], *(values[ends[i] : ends[i + 1]] for i in rows)])) for rows in (q_rows, r_rows)]
+        columns = np.intersect1d(*every, assume_unique=True)
+        q = _dense(table, q_rows, np.searchsorted(q_ids, ids[q_rows]), len(q_ids), columns)
+        score[f] = np.round(q @ _dense(table, r_rows, np.searchsorted(r_ids, ids[r_rows]), len(r_ids), columns).T, 9)
+    score["combo"] = np.round(name_weight * score["name"] + (1 - name_weight) * score["address"], 10)
+    out: list[list] = [[] for _ in names]
+    country = table.column("country")[0].as_py()
+    for mode, own in score.items():
+        if not own.size:
+            continue
+        # All that reach the k-th score, then, among equals, those that come first by id.
+        least = np.partition(own, -k, axis=1)[:, -k] if own.shape[1] > k else np.zeros(len(own))
+        i, j = np.nonzero((own >= least[:, None]) & (own > 0))
+        order = np.lexsort((j, -own[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        for column, x in zip(out, ([country] * len(i), q_ids[i].tolist(), r_ids[j].tolist(), *(score[m][i, j].tolist() for m in ("name", "address", "combo")), [mode] * len(i))):
+            column.extend(x)
+    kinds = [pa.string()] * 3 + [pa.float64()] * 3 + [pa.string()]
+    return pa.table({n: pa.array(x, t) for n, x, t in zip(names, out, kinds)})
+
+
+def top_lists(queries: DataFrame, refs: DataFrame, k: int = fixed.TOP_K, name_weight: float = fixed.NAME_WEIGHT, tile: int = 1024) -> DataFrame:
+    """(country, query_id, ref_id, name, address, combo, mode, rank): what top_k() of scores() gives for the three modes.
+
+    Each side of a country is dealt by hash into tiles of about `tile` records; each pair of tiles is a task.
+    """
+    sizes = refs.groupBy("country").agg(F.count(F.lit(1)).alias("refs"))
+    ref_grams = grams(refs, "id")
+    df = document_frequency(ref_grams)
+    sides = []
+    for is_query, postings, records in ((True, grams(queries, "id"), queries), (False, ref_grams, refs)):
+        tiles = records.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("q_tiles" if is_query else "r_tiles"))
+        sides.append((vectors(weighted(postings, "id", df, sizes).where("df is not null"), "id").withColumn("is_query", F.lit(is_query)), tiles))
+    grid = sides[0][1].join(sides[1][1], "country")
+    dealt = None
+    for side, (own, other) in zip(sides, (("q_tiles", "r_tiles"), ("r_tiles", "q_tiles"))):
+        placed = side[0].join(F.broadcast(grid), "country").withColumn("mine", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        i, j = ("mine", "theirs") if own == "q_tiles" else ("theirs", "mine")
+        part = placed.select("country", "id", "field", "grams", "weights", "is_query", F.col(i).alias("i"), F.col(j).alias("j"))
+        dealt = part if dealt is None else dealt.unionByName(part)
+    found = dealt.groupBy("country", "i", "j").applyInArrow(lambda table: _best(table, k, name_weight), "country string, query_id string, ref_id string, name double, address double, combo double, mode string")
+    score = F.when(F.col("mode") == "name", F.col("name")).when(F.col("mode") == "address", F.col("address")).otherwise(F.col("combo"))
+    order = Window.partitionBy("country", "query_id", "mode").orderBy(F.desc("score"), "ref_id")
+    return found.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("score")
+
+
 def masked(scored: DataFrame, allowed: DataFrame, masks: DataFrame) -> DataFrame:
     """Only pairs whose reference is open to the query's states: (query_id, allowed), (ref_id, mask)."""
     return scored.join(allowed, "query_id").join(masks, "ref_id").where(state_allows(F.col("allowed"), F.col("mask"))).select(*scored.columns)
@@ -78,6 +160,11 @@ def union_modes(scored: DataFrame, k: int = fixed.TOP_K, allowed: DataFrame | No
     for mode in ("name", "address", "combo"):
         own = top_k(ranked, mode, k)
         lists = own if lists is None else lists.unionByName(own)
+    return union_lists(lists, k)
+
+
+def union_lists(lists: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
+    """Candidate pairs of the modes' lists, as union_modes() says."""
     rank = lambda mode: F.coalesce(F.min(F.when(F.col("mode") == mode, F.col("rank"))), F.lit(k + 1)).cast("int").alias(f"{mode}_rank")
     return lists.groupBy("country", "query_id", "ref_id").agg(*[F.first(m).alias(f"{m}_score") for m in ("name", "address", "combo")], *[rank(m) for m in ("name", "address", "combo")])
 

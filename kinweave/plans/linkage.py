@@ -25,8 +25,8 @@ def prepared(inputs: dict, settings: dict) -> DataFrame:
 
 def candidate_pairs(inputs: dict, settings: dict) -> DataFrame:
     stats = inputs["prepared"]
-    scored = retrieval.scores(noisy(stats), references(stats), settings.get("name_weight", fixed.NAME_WEIGHT))
-    return retrieval.union_modes(scored, settings.get("top_k", fixed.TOP_K))
+    k = settings.get("top_k", fixed.TOP_K)
+    return retrieval.union_lists(retrieval.top_lists(noisy(stats), references(stats), k, settings.get("name_weight", fixed.NAME_WEIGHT)), k)
 
 
 def query_side(stats: DataFrame) -> DataFrame:

@@ -82,6 +82,19 @@ def test_retrieval_by_hand(spark):
     assert row.name_best == 1.0 and row.address_best == 0.0 and row.address_second == 0.0
 
 
+def test_both_paths_agree(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 5)))
+    rows = [(r.choice("xy"), str(i), " ".join(word() for _ in range(r.randrange(4))), " ".join(word() for _ in range(r.randrange(5)))) for i in range(120)]
+    refs, queries = records(spark, rows[:50]), records(spark, rows[50:])
+    wanted = retrieval.union_modes(retrieval.scores(queries, refs), 4)
+    for tile in (1024, 7):
+        got = retrieval.union_lists(retrieval.top_lists(queries, refs, 4, tile=tile), 4)
+        assert sorted(map(tuple, got.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_mask(spark):
     refs = records(spark, [("x", "1", "blue cafe", ""), ("x", "2", "blue cafe", "")])
     queries = records(spark, [("x", "q", "blue cafe", "")])
