@@ -26,6 +26,8 @@ BOILER_WORDS = frozenset(
     "pagination pager skip toolbar copyright legal disclaimer outbrain taboola tags".split()
 )
 
+MAIN_WORDS = frozenset("article content entry main post story".split())
+
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|xmp|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S | re.I)
 TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -50,8 +52,12 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str:
                 return "boiler"
             if name == "role" and value.lower() in ("main", "article") or name == "itemprop" and value == "articleBody":
                 kind = "main"
-            if name in ("class", "id") and tag not in MAIN_TAGS and BOILER_WORDS.intersection(x.lower() for x in NAME_PARTS.findall(value)):
-                return "boiler"
+            if name in ("class", "id") and tag not in MAIN_TAGS:
+                parts = {x.lower() for x in NAME_PARTS.findall(value)}
+                if parts & BOILER_WORDS or "header" in parts and not in_main and not parts & MAIN_WORDS:
+                    return "boiler"
+                if parts & MAIN_WORDS and tag in ("div", "section", "td"):
+                    kind = "main"
     return kind
 
 
