@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from .plans.linkage import SMOKE, STAGES
 from .plans.stages import Chain, Store, doctor
+from .session import ship
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -20,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--smoke", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("kinweave").getOrCreate()
+    ship(spark)
     if args.command == "doctor":
         print(json.dumps(doctor(spark), indent=2))
         return 0
