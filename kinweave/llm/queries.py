@@ -77,5 +77,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: What links and components of op6 are, by comparing all vectors of a label.
+OP6_SQL = """
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a),
+top AS (SELECT a, min(r) AS component_id FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, t.component_id, e.vec_id = t.component_id AS kept FROM embeddings e JOIN top t ON e.vec_id = t.a LEFT JOIN degree d ON e.vec_id = d.a"""
+
+#: What links and classes of op9 are, by counting shared word n-grams.
+OP9_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents),
+grams AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT s.a, s.b FROM shared s JOIN sizes p ON s.a = p.doc_id JOIN sizes q ON s.b = q.doc_id WHERE s.n / (p.n + q.n - s.n) >= 0.8),
+reach(a, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a),
+top AS (SELECT a, min(r) AS class_id FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, t.class_id, coalesce(k.n, 0) AS n_links, d.doc_id = t.class_id AS kept FROM documents d JOIN top t ON d.doc_id = t.a LEFT JOIN degree k ON d.doc_id = k.a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express at the size it is checked at; tests compare the others with plain Python."""
+    return {"op6_embedding_near_dedup": OP6_SQL, "op9_jaccard_join": OP9_SQL}
