@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, crc_bucket, cut, forget, kept, narrow, texts_of
+from .common import Memo, batch_of, crc_bucket, cut, forget, kept, narrow, prefix_sums, texts_of
 
 #: Words that are clustered one by one, groups of the others by their ending, classes, sweeps over the words at most.
 CLUSTERED, ENDINGS, CLASSES, SWEEPS = 2_048, 256, 64, 8
@@ -35,8 +35,8 @@ def tokens_of(text: str) -> list[bytes]:
 
 
 def word_key(word: bytes) -> int:
-    """56 bits of a word's hash, then 8 bits that its last two bytes decide: the group of words with its ending."""
-    return xxhash.xxh3_64_intdigest(word) & ~0xFF | xxhash.xxh32_intdigest(word[-2:]) % ENDINGS
+    """55 bits of a word's hash, then 8 bits that its last two bytes decide: the group of words with its ending."""
+    return xxhash.xxh3_64_intdigest(word) & 0x7FFF_FFFF_FFFF_FF00 | xxhash.xxh32_intdigest(word[-2:]) % ENDINGS
 
 
 def _dealt(keys: np.ndarray, rest: np.ndarray, parts: int) -> list[bytes]:
@@ -100,6 +100,16 @@ def word_counts(train: DataFrame, parts: int) -> DataFrame:
     return cut(train.mapInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(add, "part int, counts binary, types array<long>, tokens array<long>, bins array<long>"))
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of a task's rows of equally long lists, place by place, as one row."""
+    total = None
+    for batch in batches:
+        for row in batch.column(0).to_pylist():
+            total = np.array(row) if total is None else total + row
+    if total is not None:
+        yield batch_of(["n"], [pa.array([total.tolist()], pa.list_(pa.int64()))])
+
+
 def _common_words(counts: DataFrame, bins: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (in order) and counts of the words of the highest counts, `most` at most, whole bins of counts at a time."""
     above = np.cumsum(bins[::-1])[::-1]
@@ -266,8 +276,10 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: in
     train = docs.where(~F.col("held_out")).select("text")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = word_counts(train, parts)
-    sums = counts.select("types", "tokens", "bins").collect()  # a row of fixed size a part
-    types, tokens, bins = (np.sum([r[i] for r in sums], axis=0, dtype=np.int64) if sums else np.zeros(n, np.int64) for i, n in enumerate((ENDINGS, ENDINGS, len(BINS))))
+    # Summed in each task, then in a few: as many rows come here for any number of parts.
+    listed = counts.select(F.concat("types", "tokens", "bins").alias("n")).mapInArrow(_totals, "n array<long>").repartition(16).mapInArrow(_totals, "n array<long>")
+    flat = np.sum([np.zeros(2 * ENDINGS + len(BINS), np.int64), *(r.n for r in listed.collect())], axis=0, dtype=np.int64)
+    types, tokens, bins = flat[:ENDINGS], flat[ENDINGS : 2 * ENDINGS], flat[2 * ENDINGS :]
     n, v = int(tokens.sum()), int(types.sum())
     keys, often = _common_words(counts, bins, common)
     units = Units(keys, often, clustered)
@@ -287,25 +299,25 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: in
 
     def opened() -> tuple:
         own, sorted_keys, their_counts = shared.value
+        first = len(own.units.words)
+        classes_of = own.of[[own.units.at.get(k, first + (k & 0xFF)) for k in sorted_keys.tolist()]].astype(np.int64)
 
-        def look(word: bytes) -> tuple[int, float, int]:
-            """Class, log10 of count + 1, and 0; or, if the count isn't here, class, 0 and the key."""
+        def look(word: bytes) -> int:
+            """The word's place among the common ones, or its key's complement, which is negative."""
             key = word_key(word)
             place = int(np.searchsorted(sorted_keys, np.uint64(key)))
-            unit = own.units.at.get(key, len(own.units.words) + (key & 0xFF))
-            if place < len(sorted_keys) and int(sorted_keys[place]) == key:
-                return int(own.of[unit]), float(np.log10(float(their_counts[place]) + 1)), 0
-            return int(own.of[unit]), 0.0, key
+            return place if place < len(sorted_keys) and int(sorted_keys[place]) == key else ~key
 
-        return Memo(look, MEMO_WORDS), own.steps, look(END)
+        # Clustered words are all common: a word that isn't has its ending's class.
+        return Memo(look, MEMO_WORDS), own.steps, classes_of, np.log10(their_counts.astype(np.float64) + 1), own.of[first:].astype(np.int64), look(END)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, steps, end = kept(f"brown {name}", opened)
-        row, wait_keys, wait_rows = TaskContext.get().partitionId() << 36, [], []
+        memo, steps, classes_of, logs_of, ending_class, end = kept(f"brown {name}", opened)
+        row, wait_keys, wait_rows, waiting = TaskContext.get().partitionId() << 36, [], [], 0
         names = ["row", "id", "held_out", "n_tokens", "n_known", "counted", "steps", "part", "packed"]
 
         def flush(id_type: pa.DataType) -> pa.RecordBatch:
-            packed = _dealt(np.array(wait_keys, np.uint64), np.array(wait_rows, np.uint64), parts)
+            packed = _dealt(np.concatenate(wait_keys), np.concatenate(wait_rows), parts)
             wait_keys.clear()
             wait_rows.clear()
             nothing = [pa.nulls(parts, t) for t in (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
@@ -314,23 +326,33 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: in
         kind = None
         for whole in batches:
             kind = whole.schema.field("id").type
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                size, at, logs, known_here, lengths = batch.num_rows, [], [], [], []
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                size, codes, lengths = batch.num_rows, [], []
                 for x in texts_of(batch.column("text")):
-                    found = [memo[w] for w in tokens_of(x)]
-                    found.append(end)
-                    path = np.array([f[0] for f in found])
-                    at.append(float(steps[np.concatenate(([end[0]], path[:-1])), path].sum()))
-                    logs.append(sum([f[1] for f in found]))
-                    away = [f[2] for f in found if f[2]]
-                    lengths.append(len(found))
-                    known_here.append(len(found) - len(away))
-                    wait_keys.extend(away)
-                    wait_rows.extend([row] * len(away))
-                    row += 1
-                yield batch_of(names, [pa.array(range(row - size, row), pa.int64()), batch.column("id"), batch.column("held_out"), pa.array(lengths, pa.int64()), pa.array(known_here, pa.int64()), pa.array(logs, pa.float64()), pa.array(at, pa.float64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())])
-                if len(wait_keys) > 1_000_000:
+                    words = tokens_of(x)
+                    codes.extend([memo[w] for w in words])
+                    codes.append(end)
+                    lengths.append(len(words) + 1)
+                codes, lengths = np.array(codes, dtype=np.int64), np.array(lengths, dtype=np.int64)
+                away = codes < 0
+                keys_away = (~codes[away]).astype(np.uint64)
+                path, logs = np.empty(len(codes), np.int64), np.zeros(len(codes))
+                path[~away], logs[~away] = classes_of[codes[~away]], logs_of[codes[~away]]
+                path[away] = ending_class[(keys_away & np.uint64(0xFF)).astype(np.int64)]
+                # Every text ends with an end, so what precedes a text's first word is one.
+                before = np.concatenate((path[-1:], path[:-1]))
+                starts = prefix_sums(lengths)[:-1]
+                n_away = np.add.reduceat(away.astype(np.int64), starts)
+                rows_ = np.arange(row, row + size)
+                row += size
+                if len(keys_away):
+                    wait_keys.append(keys_away)
+                    wait_rows.append(np.repeat(rows_, n_away).astype(np.uint64))
+                    waiting += len(keys_away)
+                yield batch_of(names, [rows_, batch.column("id"), batch.column("held_out"), lengths, lengths - n_away, np.add.reduceat(logs, starts), np.add.reduceat(steps[before, path], starts), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())])
+                if waiting > 1_000_000:
+                    waiting = 0
                     yield flush(kind)
         if wait_keys:
             yield flush(kind)
