@@ -315,10 +315,13 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: in
         F.when(F.col("tiles") == 1, F.pmod("component", F.lit(parts))).otherwise(F.col("component")).alias("part"), (F.col("tiles") > 1).alias("large"),
     ).dropDuplicates(["h", "i", "j"])
     same = components(dealt.groupBy("large", "part", "i", "j").applyInArrow(_verify(edits, min_chars), "a long, b long"))
-    joined = distinct.join(same.select(F.col("id").alias("h"), "component"), "h", "left")
-    firsts = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("f"))
-    distinct = joined.join(firsts, "component", "left").select("h", "h2", F.coalesce("f", "first").alias("first"), F.when(F.col("f").isNotNull(), 2).otherwise(F.col("n")).alias("n"))
-    shared = distinct.where("n > 1").select("h", "h2", "first")
+    linked = same.withColumnRenamed("id", "h")
+    # Lines that no other is near are most; they take no part in the joins of classes, where they would share a null key.
+    inside = distinct.join(linked, "h")
+    firsts = inside.groupBy("component").agg(F.min("first").alias("f"))
+    near = inside.drop("first").join(firsts, "component").select("h", "h2", F.col("f").alias("first"))
+    alone = distinct.where("n > 1").join(linked.select("h"), "h", "left_anti").select("h", "h2", "first")
+    shared = near.unionByName(alone)
     marked = lines.join(shared, ["h", "h2"]).select("id", "k", "line_no", (F.struct("id", "k", "line_no") == F.col("first")).alias("is_first"))
     return marked, docs
 
