@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -44,15 +44,20 @@ def record_stats(prepared: DataFrame) -> DataFrame:
     )
 
 
+def _with_group_size(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """rows with the number of rows of a country that share the keys: counted before the shuffle, so a frequent key is a row."""
+    sizes = rows.groupBy("country", *keys).agg(F.count(F.lit(1)).alias(name))
+    return rows.join(sizes, ["country", *keys], "left")
+
+
 def twins(stats: DataFrame) -> DataFrame:
     """How many other records share name and address, name and numbers, name, address (0 for an empty one), within a country."""
-    others = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy("country", *keys)) - 1
-    sorted_numbers = stats.withColumn("number_key", F.array_join(F.array_sort("numset"), " "))
-    return sorted_numbers.withColumns(
-        {"tw_full": others("name_core", "address_clean"), "tw_num": others("name_core", "number_key"), "tw_name": others("name_core"), "tw_addr": F.when(F.col("address_clean") == "", 0).otherwise(others("address_clean"))}
-    ).drop("number_key")
+    out = stats.withColumn("number_key", F.array_join(F.array_sort("numset"), " "))
+    for name, keys in {"tw_full": ["name_core", "address_clean"], "tw_num": ["name_core", "number_key"], "tw_name": ["name_core"], "tw_addr": ["address_clean"]}.items():
+        out = _with_group_size(out, name, *keys).withColumn(name, F.coalesce(F.col(name) - 1, F.lit(0)))
+    return out.withColumn("tw_addr", F.when(F.col("address_clean") == "", 0).otherwise(F.col("tw_addr"))).drop("number_key").select(*stats.columns, "tw_full", "tw_num", "tw_name", "tw_addr")
 
 
 def name_multiplicity(refs: DataFrame) -> DataFrame:
     """How many references of a country have each one's core name."""
-    return refs.withColumn("r_name_mult", F.count(F.lit(1)).over(Window.partitionBy("country", "name_core")))
+    return _with_group_size(refs, "r_name_mult", "name_core").select(*refs.columns, "r_name_mult")
