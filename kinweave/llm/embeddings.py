@@ -111,5 +111,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     judged = classes.join(weights, "s", "left").join(joined, "s", "left").select("s", "n", "least", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("component", "s").alias("component"))
     firsts = judged.groupBy("component").agg(F.min("least").alias("component_id"))
     verdict = judged.join(firsts, "component").where("n > 1 or weight > 0").select("s", "component_id", (F.col("weight") + F.col("n") - 1).alias("n_links"))
-    out = named.select("id", "s").join(verdict, "s", "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = named.where("able").select("id", "s").join(verdict, "s", "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    # Vectors that can't link would all have one key.
+    out = out.unionByName(named.where(~F.col("able")).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

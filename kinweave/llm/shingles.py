@@ -220,7 +220,9 @@ def groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     named = classes.join(weights, "s", "left").join(joined, "s", "left").select("s", "s2", "n", "least", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("component", "s").alias("component"))
     firsts = named.groupBy("component").agg(F.min("least").alias("class_id"))
     verdict = named.join(firsts, "component").where("n > 1 or weight > 0").select("s", "s2", "class_id", (F.col("weight") + F.col("n") - 1).alias("n_links"))
-    return sketch.join(verdict, ["s", "s2"], "left").select("id", "k", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Rows without words would all have one key.
+    empty = sketch.where("size = 0").select("id", "k", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return sketch.where("size > 0").join(verdict, ["s", "s2"], "left").select("id", "k", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).unionByName(empty)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
