@@ -3,10 +3,16 @@
 Lines within `edits` edits of each other share one of edits+1 segments at nearly the same place. Each line is indexed by its
 segments and probes for the segments of lines up to `edits` shorter, at the places where the join needs to look. Lines that meet are compared
 by banded bit-parallel edit distance.
+
+Lines of `word_chars` or more characters are also joined by edits of whole words, of which a longer line may have more (word_edits()).
+Line lengths fall into bands; a band has its own number of edits and so of segments, half of them counted from the line's start and half
+from its end, so probes need to look i words about the i-th place from either.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +27,10 @@ from .components import components
 #: Edits between lines taken for the same; lines with fewer characters are left alone; entries a
 #: task holds before it passes them on; lines of a large group compared at a time.
 EDITS, MIN_CHARS, FLUSH, TILE = 2, 30, 1_000_000, 4_096
+#: Lines with as many characters are joined by words too: one edit in WORDS_AN_EDIT words, MOST_WORDS edits at most.
+WORD_CHARS, WORDS_AN_EDIT, MOST_WORDS = 100, 20, 64
+#: Scripts written without spaces: each letter counts as a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: Characters hashed at a time.
 PORTION = 1_000_000
 
@@ -60,8 +70,8 @@ class Powers:
 POWERS = Powers()
 
 
-def _mixed(h: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
-    h = (h ^ (length.astype(np.uint64) * np.uint64(0x100000001B3) + np.uint64(segment))) * MIX
+def _mixed(h: np.ndarray, length: np.ndarray, segment: int | np.ndarray) -> np.ndarray:
+    h = (h ^ (length.astype(np.uint64) * np.uint64(0x100000001B3) + np.asarray(segment).astype(np.uint64))) * MIX
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
@@ -108,12 +118,127 @@ def keys_of(lines: list[str], edits: int, min_chars: int) -> tuple[np.ndarray, n
     return np.concatenate(index), np.concatenate(index_of), np.concatenate(probe), np.concatenate(probe_of)
 
 
+def word_edits(n: int) -> int:
+    """Edits of words between lines taken for the same, the shorter of n words: 1 of 10, 2 of 20, then one in WORDS_AN_EDIT."""
+    return min(MOST_WORDS, max(n // WORDS_AN_EDIT, min(2, n // 10)))
+
+
+@functools.lru_cache(64)
+def _bands(longest: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of numbers of words that have the same word_edits, as far as longest."""
+    firsts, at = [], 10
+    while at <= longest:
+        firsts.append(at)
+        same = at + max(1, at // 4)
+        at = next((n for n in range(at + 1, same) if word_edits(n) != word_edits(at)), same)
+    return list(zip(firsts, [x - 1 for x in firsts[1:]] + [at - 1]))
+
+
+def word_keys(lines: list[str], word_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As keys_of(), for lines of word_chars or more characters and segments of words."""
+    number = np.array([i for i, x in enumerate(lines) if len(x) >= word_chars], dtype=np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not len(number):
+        return *none, *none
+    long = [lines[i] for i in number]
+    ends = prefix_sums(np.fromiter(map(len, long), np.int64, len(long)))
+    code = np.frombuffer("".join(long).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    up, down = POWERS.get(len(code) + 1)
+    sums = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)], out=sums[1:])
+    # Words start, and end, at spaces, ends of lines and letters that are words.
+    space, alone = code == 32, np.zeros(len(code), bool)
+    for a, b in UNSPACED:
+        alone |= (code >= a) & (code <= b)
+    parts = space | alone
+    opens, closes = np.ones(len(code), bool), np.ones(len(code), bool)
+    opens[1:], closes[:-1] = parts[:-1] | alone[1:], parts[1:] | alone[:-1]
+    opens[ends[:-1]], closes[ends[1:] - 1] = True, True
+    starts, stops = np.flatnonzero(opens & ~space), np.flatnonzero(closes & ~space) + 1
+    words = _mixed((sums[stops] - sums[starts]) * down[starts], stops - starts, 0)
+    first = np.searchsorted(starts, ends)
+    first, sizes = first[:-1], np.diff(first)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+
+    index, index_of, probe, probe_of = [none[0]], [none[1]], [none[0]], [none[1]]
+    order = np.sort(sizes)
+    for low, high in _bands(1 << int(sizes.max()).bit_length()):
+        edits = word_edits(low)
+        if np.searchsorted(order, low) == np.searchsorted(order, high + edits, "right"):
+            continue
+        segments, half = edits + 1, (edits + 2) // 2
+        length = low // segments
+        place = lambda i, n: np.where(i < half, i * length, n - (segments - i) * length)
+        own = np.flatnonzero((sizes >= low) & (sizes <= high))
+        looks = np.flatnonzero((sizes >= low) & (sizes <= high + edits))
+        i = np.arange(segments)
+        most = np.where(i < half, i, edits - i)
+        moved = np.repeat(i, 2 * most + 1)
+        moves = np.concatenate([np.arange(-m, m + 1) for m in most])
+        for some, segment, move, keys, of in ((own, i, 0, index, index_of), (looks, moved, moves, probe, probe_of)):
+            n = sizes[some][:, None]
+            at = place(segment, n) + move
+            row, column = np.nonzero((at >= 0) & (at + length <= n))
+            at = first[some][row] + at[row, column]
+            keys.append(_mixed((sums[at + length] - sums[at]) * down[at], np.full(len(at), (1 << 32) + low), segment[column]))
+            of.append(number[some[row]])
+    return tuple(map(np.concatenate, (index, index_of, probe, probe_of)))
+
+
+_WORDS = re.compile("[{0}]|[^ {0}]+".format("".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)))
+_words = functools.lru_cache(1024)(_WORDS.findall)
+
+
+def near(a: str, b: str, edits: int, word_chars: int) -> bool:
+    """Whether two lines are within `edits` edits or, if long enough, within the edits of words that their length allows."""
+    if within(a, b, edits):
+        return True
+    if min(len(a), len(b)) < word_chars:
+        return False
+    a, b = _words(a), _words(b)
+    most = word_edits(min(len(a), len(b)))
+    if not most or abs(len(a) - len(b)) > most:
+        return False
+    # Each edit takes one word at most out of a's, and one out of b's.
+    own, other = set(a), set(b)
+    if len(own - other) > most or len(other - own) > most:
+        return False
+    a, b = _middles(a, b)
+    return max(len(a), len(b)) <= most or apart(a, b) <= most
+
+
+def apart(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists, bit-parallel (Myers 1999, Hyyro 2003)."""
+    if not a or not b:
+        return max(len(a), len(b))
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, d = full, 0, len(a)
+    for c in b:
+        equal = masks.get(c, 0)
+        across = (((equal & up) + up) ^ up) | equal | down
+        more, less = down | ~(across | up) & full, up & across
+        d += bool(more & last) - bool(less & last)
+        more, less = more << 1 & full | 1, less << 1 & full
+        up, down = less | ~(across | more) & full, more & across
+    return d
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether two lines are within `edits` edits: banded bit-parallel distance on what differs between their ends."""
     if abs(len(a) - len(b)) > edits:
         return False
     if a == b:
         return True
+    a, b = _middles(a, b)
+    return banded(a, b, edits) if a and b else max(len(a), len(b)) <= edits
+
+
+def _middles(a, b):
+    """a and b without what they share at the start and then at the end."""
     low, high = 0, min(len(a), len(b))
     while low < high:
         middle = (low + high + 1) // 2
@@ -123,8 +248,7 @@ def within(a: str, b: str, edits: int) -> bool:
     while low < high:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if a[len(a) - middle :] == b[len(b) - middle :] else (low, middle - 1)
-    a, b = a[: len(a) - low], b[: len(b) - low]
-    return banded(a, b, edits) if a and b else max(len(a), len(b)) <= edits
+    return a[: len(a) - low], b[: len(b) - low]
 
 
 def banded(a: str, b: str, edits: int) -> bool:
@@ -183,7 +307,11 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, k long, line_no int, h long, h2 long")
 
 
-def _candidates(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def _keys(lines: list[str], edits: int, min_chars: int, word_chars: int) -> tuple[np.ndarray, ...]:
+    return tuple(map(np.concatenate, zip(keys_of(lines, edits, min_chars), word_keys(lines, word_chars))))
+
+
+def _candidates(docs: DataFrame, edits: int, min_chars: int, word_chars: int) -> DataFrame:
     """a, b: links between hashes of lines that meet at a segment, all to the least of those that do.
 
     Keys travel packed, a blob for each of `parts` parts of the key space and flush, and each part is matched by sorting.
@@ -224,7 +352,7 @@ def _candidates(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                     seen.clear()
                 for a, b in in_portions([len(x) for x in lines], PORTION):
                     own = np.array(hashes[a:b], dtype=np.uint64)
-                    index, index_of, probe, probe_of = keys_of(lines[a:b], edits, min_chars)
+                    index, index_of, probe, probe_of = _keys(lines[a:b], edits, min_chars, word_chars)
                     for place, x in zip(held, (index, own[index_of], probe, own[probe_of])):
                         place.append(x)
                     size += len(index) + len(probe)
@@ -252,19 +380,31 @@ def _candidates(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(match, "a long, b long").distinct()
 
 
-def _pairs(lines: list[str], edits: int, min_chars: int) -> Iterator[tuple[int, int]]:
-    """Numbers of lines that share a segment where the join looks for it, a few at a time."""
-    index, index_of, probe, probe_of = keys_of(lines, edits, min_chars)
+def _pairs(lines: list[str], group: np.ndarray, edits: int, min_chars: int, word_chars: int) -> Iterator[tuple[int, int]]:
+    """Numbers of lines of a group that share a segment where the join looks for it, each pair once, a few at a time."""
+    index, index_of, probe, probe_of = _keys(lines, edits, min_chars, word_chars)
+    index, probe = _mixed(index, group[index_of], 0), _mixed(probe, group[probe_of], 0)
     order = np.argsort(index, kind="stable")
     index, index_of = index[order], index_of[order]
     low, high = (np.searchsorted(index, probe, side) for side in ("left", "right"))
-    for k in np.flatnonzero(high > low):
-        for other in index_of[low[k] : high[k]]:
-            if other != probe_of[k]:
-                yield int(probe_of[k]), int(other)
-
-
-def _verify(edits: int, min_chars: int):
+    some = np.flatnonzero(high > low)
+    probe_of, low, counts = probe_of[some], low[some], (high - low)[some]
+    order = np.argsort(probe_of, kind="stable")
+    probe_of, low, counts = probe_of[order], low[order], counts[order]
+    # A line's probes stay together, so that a pair comes up in one portion.
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(probe_of)), bool), probe_of[1:] != probe_of[:-1])))
+    each = np.add.reduceat(counts, first).tolist() if len(first) else []
+    first = [*first.tolist(), len(probe_of)]
+    for a, b in in_portions(each, PORTION):
+        x, y = first[a], first[b]
+        own = np.repeat(probe_of[x:y], counts[x:y])
+        step = np.arange(len(own)) - np.repeat(np.cumsum(counts[x:y]) - counts[x:y], counts[x:y])
+        other = index_of[np.repeat(low[x:y], counts[x:y]) + step]
+        met = own != other
+        yield from map(tuple, np.unique(np.stack((own[met], other[met]), axis=1), axis=0).tolist())
+
+
+def _verify(edits: int, min_chars: int, word_chars: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("h", "ascending")])
         component, h = table.column("component").to_numpy(), table.column("h").to_numpy()
@@ -278,15 +418,25 @@ def _verify(edits: int, min_chars: int):
             return x
 
         edges = np.flatnonzero(np.concatenate(([True], component[1:] != component[:-1], [True])))
-        for low, high in zip(edges.tolist(), edges[1:].tolist()):
-            if high - low == 2:
-                if within(lines[low], lines[low + 1], edits):
-                    root[low + 1] = low
-                continue
-            for x, y in _pairs(lines[low:high], edits, min_chars):
+        sizes, more = np.diff(edges), []
+        for low, n in zip(edges.tolist(), sizes.tolist()):
+            if n == 2 and near(lines[low], lines[low + 1], edits, word_chars):
+                root[low + 1] = low
+            elif n > 2:
+                more.append((low, low + n))
+        # Keys of many small components are made at once.
+        for start, stop in in_portions([sum(map(len, lines[low:high])) for low, high in more], PORTION):
+            own = [x for low, high in more[start:stop] for x in range(low, high)]
+            group = np.repeat(np.arange(start, stop), [high - low for low, high in more[start:stop]])
+            apart = set()
+            for x, y in _pairs([lines[x] for x in own], group, edits, min_chars, word_chars):
                 # Lines that others link already need no comparing.
-                if (a := find(low + x)) != (b := find(low + y)) and within(lines[low + x], lines[low + y], edits):
-                    root[max(a, b)] = min(a, b)
+                x, y = own[x], own[y]
+                if (a := find(x)) != (b := find(y)) and (y, x) not in apart:
+                    if near(lines[x], lines[y], edits, word_chars):
+                        root[max(a, b)] = min(a, b)
+                    elif len(apart) < PORTION:
+                        apart.add((x, y))
         tops = np.array([find(x) for x in range(len(lines))], dtype=np.int64)
         linked = tops != np.arange(len(lines))
         return pa.table({"a": h[linked], "b": h[tops[linked]]})
@@ -294,17 +444,17 @@ def _verify(edits: int, min_chars: int):
     return run
 
 
-def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS) -> tuple[DataFrame, DataFrame]:
     """The lines that belong to a class of two or more, and the keyed rows: (id, k, line_no, first), (id, text, k).
 
-    Lines equal in normal form, or within `edits` edits, or linked by such lines, are a class; `first` marks its first line
+    Lines equal in normal form, or near(), or linked by such lines, are a class; `first` marks its first line
     by id (nulls first), hash of the row and number. Lines under min_chars characters are in no class.
     """
     docs = _keyed(df, text, doc_id)
     lines = cut(_lines(docs, min_chars))
     place = F.struct("id", "k", "line_no")
     distinct = cut(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    met = components(_candidates(docs, edits, min_chars))
+    met = components(_candidates(docs, edits, min_chars, word_chars))
     sizes = met.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     where = distinct.join(met.withColumnRenamed("id", "h"), "h").join(sizes, "component").select("h", "component", "tiles", F.col("first.id").alias("i_"), F.col("first.k").alias("k_"), F.col("first.line_no").alias("n_"))
     held = docs.join(where, F.col("i_").eqNullSafe(F.col("id")) & (F.col("k_") == F.col("k"))).select("component", "tiles", "h", F.element_at(F.split("text", "\n"), F.col("n_") + 1).alias("line"))
@@ -314,7 +464,7 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: in
         "component", "h", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("tiles") == 1, F.pmod("component", F.lit(parts))).otherwise(F.col("component")).alias("part"), (F.col("tiles") > 1).alias("large"),
     ).dropDuplicates(["h", "i", "j"])
-    same = components(dealt.groupBy("large", "part", "i", "j").applyInArrow(_verify(edits, min_chars), "a long, b long"))
+    same = components(dealt.groupBy("large", "part", "i", "j").applyInArrow(_verify(edits, min_chars, word_chars), "a long, b long"))
     linked = same.withColumnRenamed("id", "h")
     # Lines that no other is near are most; they take no part in the joins of classes, where they would share a null key.
     inside = distinct.join(linked, "h")
@@ -326,13 +476,13 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: in
     return marked, docs
 
 
-def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS) -> DataFrame:
     """One row for each row of df: doc_id, n_lines, n_dropped, dropped (numbers from 0 of the lines to drop, in order).
 
     A line goes if it isn't the first of its class (see classes()). Null and empty texts drop nothing (a null text has no
     lines, an empty one a single line). Rows alike in id and text are one document and keep the same lines.
     """
-    marked, docs = classes(df, text, doc_id, edits, min_chars)
+    marked, docs = classes(df, text, doc_id, edits, min_chars, word_chars)
     drops = marked.where(~F.coalesce("is_first", F.lit(False))).groupBy("id", "k").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     own = docs.select("id", "k", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"))
     return (
@@ -341,12 +491,12 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: i
     )
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS) -> DataFrame:
     """df with each repeated line taken out of its text (see repeated()), other columns as they are.
 
     A row goes if nothing but white space is left of a text that lost lines.
     """
-    marked, _ = classes(df, text, doc_id, edits, min_chars)
+    marked, _ = classes(df, text, doc_id, edits, min_chars, word_chars)
     drops = marked.where(~F.coalesce("is_first", F.lit(False))).groupBy("id", "k").agg(F.collect_set("line_no").alias("dropped")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.col("dropped").alias("__dropped"))
     own, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     joined = df.join(drops, own.eqNullSafe(F.col("__id")) & (F.xxhash64(own, body) == F.col("__k")), "left")

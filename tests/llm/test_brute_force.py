@@ -131,6 +131,42 @@ def test_line_dedup(spark):
     assert left == {i: t for i, t in wanted.items() if t.strip() or not dropped[i]}
 
 
+def reworded(r, line, n):
+    out = line.split(" ")
+    for at in r.sample(range(len(out)), n):
+        out[at] = "".join(r.choice("aeioukl") for _ in range(r.randrange(4, 9)))
+    return " ".join(out)
+
+
+def test_long_lines_with_other_words(spark):
+    r = random.Random(12)
+    docs, wanted = [], {}
+    for k, (size, n) in enumerate([(300, 1), (300, 2), (300, 2), (120, 1), (700, 5), (3000, 20), (300, 12)]):
+        line = ""
+        while len(line) < size:
+            line = (line + " " + "".join(words(r, 1)) + r.choice("aeiou")).strip()
+        docs += [(2 * k, line), (2 * k + 1, reworded(r, line, n))]
+        wanted[2 * k], wanted[2 * k + 1] = 0, int(n < 12 or size > 300)
+    letters = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(150)]
+    docs += [(90, "".join(letters)), (91, "".join(letters[:40] + ["\u3042"] * 4 + letters[42:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: x.n_dropped for x in linededup.repeated(df).collect()} == wanted | {90: 0, 91: 1}
+
+
+def test_word_join_finds_all_near_lines():
+    r = random.Random(13)
+    for _ in range(400):
+        a = [r.choice("abcdefgh") * r.randrange(1, 9) + str(r.randrange(30)) for _ in range(r.randrange(25, 260))]
+        b = edited(r, [x + " " for x in a], r.randrange(8), ["new ", "other ", "x "])
+        b = b.split()
+        lines = [" ".join(a), " ".join(b)]
+        if distance(a, b) <= linededup.word_edits(min(len(a), len(b))) and min(map(len, lines)) >= 100:
+            index, index_of, probe, probe_of = linededup.word_keys(lines, 100)
+            met = {(i, j) for x, i in zip(index.tolist(), index_of.tolist()) for y, j in zip(probe.tolist(), probe_of.tolist()) if x == y and i != j}
+            assert met and linededup.near(*lines, 2, 100)
+        assert linededup.apart(a[:40], b[:40]) == distance(a[:40], b[:40])
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     items = [" ".join(words(r, 30)) for _ in range(12)] + ["same item text here for two", "same item text here for two"]
