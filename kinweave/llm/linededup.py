@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_of, cut, forget, in_portions, narrow, prefix_sums, texts_of
 from .components import components
 
-#: Edits between lines taken for the same; lines with fewer characters are left alone; entries a
+#: Edits between lines taken for the same; lines with fewer characters are in no edit join; entries a
 #: task holds before it passes them on; lines of a large group compared at a time.
 EDITS, MIN_CHARS, FLUSH, TILE = 2, 30, 1_000_000, 4_096
 #: Lines with as many characters are joined by words too: one edit in WORDS_AN_EDIT words, MOST_WORDS edits at most.
@@ -444,14 +444,15 @@ def _verify(edits: int, min_chars: int, word_chars: int):
     return run
 
 
-def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """The lines that belong to a class of two or more, and the keyed rows: (id, k, line_no, first), (id, text, k).
 
     Lines equal in normal form, or near(), or linked by such lines, are a class; `first` marks its first line
-    by id (nulls first), hash of the row and number. Lines under min_chars characters are in no class.
+    by id (nulls first), hash of the row and number. Lines under
+    min_chars characters are in a class with equal ones only, those under exact_chars in none (1: all but blank ones are).
     """
     docs = _keyed(df, text, doc_id)
-    lines = cut(_lines(docs, min_chars))
+    lines = cut(_lines(docs, min(min_chars, exact_chars)))
     place = F.struct("id", "k", "line_no")
     distinct = cut(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
     met = components(_candidates(docs, edits, min_chars, word_chars))
@@ -476,13 +477,13 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: in
     return marked, docs
 
 
-def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS) -> DataFrame:
+def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each row of df: doc_id, n_lines, n_dropped, dropped (numbers from 0 of the lines to drop, in order).
 
     A line goes if it isn't the first of its class (see classes()). Null and empty texts drop nothing (a null text has no
     lines, an empty one a single line). Rows alike in id and text are one document and keep the same lines.
     """
-    marked, docs = classes(df, text, doc_id, edits, min_chars, word_chars)
+    marked, docs = classes(df, text, doc_id, edits, min_chars, word_chars, exact_chars)
     drops = marked.where(~F.coalesce("is_first", F.lit(False))).groupBy("id", "k").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     own = docs.select("id", "k", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"))
     return (
@@ -491,12 +492,12 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: i
     )
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
     """df with each repeated line taken out of its text (see repeated()), other columns as they are.
 
     A row goes if nothing but white space is left of a text that lost lines.
     """
-    marked, _ = classes(df, text, doc_id, edits, min_chars, word_chars)
+    marked, _ = classes(df, text, doc_id, edits, min_chars, word_chars, exact_chars)
     drops = marked.where(~F.coalesce("is_first", F.lit(False))).groupBy("id", "k").agg(F.collect_set("line_no").alias("dropped")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.col("dropped").alias("__dropped"))
     own, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     joined = df.join(drops, own.eqNullSafe(F.col("__id")) & (F.xxhash64(own, body) == F.col("__k")), "left")

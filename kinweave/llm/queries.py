@@ -44,7 +44,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated(documents(spark, sf_dir))
+    return linededup.repeated(documents(spark, sf_dir), exact_chars=1)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,11 @@ def test_run_is_the_stages(spark, tmp_path):
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert rows == {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in docs.collect()}
+
+
+def test_exact_copy_with_a_short_title_leaves(spark):
+    body = "This paragraph is long enough for the edit join to find it again."
+    rows = [(1, f"A title\n\n{body}", "en", "s", 0), (2, f"A title\n\n{body}", "en", "s", 0), (3, "Another\n\nOf its own, this one keeps each line that it has.", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in P.dedup_lines(spark, docs, DATA).collect()}
+    assert left == {1: rows[0][1], 3: rows[2][1]}
