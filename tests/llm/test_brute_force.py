@@ -209,6 +209,15 @@ def test_secrets(spark):
     assert (got[10].n_live, got[10].n_examples) == (0, 1) and (got[20].n_live, got[20].n_examples) == (1, 0)
 
 
+def test_secrets_by_repositories_and_keys(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIabc+/" * 8 + "\n" + "Zz09" * 5 + "\n-----END RSA PRIVATE KEY-----"
+    rows = [(i, "token=copied_by_one", "hot") for i in range(12)] + [(20, key, "a"), (21, "x " + key.replace("\n", "\\n"), "b"), (22, "-----BEGIN PRIVATE KEY----- and no more", "c"), (23, key[:70] + "! -----BEGIN PRIVATE KEY-----", "c")]
+    got = {x.doc_id: x for x in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i].n_live, got[i].n_examples, got[i].n_repos, got[i].n_owners) == (0, 1, [12], [1]) for i in range(12))
+    assert got[20].n_live == got[21].n_live == got[23].n_live == 1 and got[20].hashes == got[21].hashes == got[20].live_hashes
+    assert (got[20].n_repos, got[20].n_owners, got[22].n_live, got[22].n_repos) == ([2], [2], 0, [])
+
+
 def test_transducer(tmp_path):
     r = random.Random(5)
     entries = {"".join(r.choice("abé") for _ in range(r.randrange(1, 8))).encode(): tuple(r.randrange(50) for _ in range(r.randrange(1, 4))) for _ in range(2000)}
