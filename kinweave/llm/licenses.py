@@ -21,8 +21,8 @@ from .common import cut, narrow
 LONGEST, FEATURES, CONFIRMS, PRECISION = 3, 4_096, 0.5, 0.99
 NONE, UNKNOWN = "none", "unknown"
 
-#: Every template holds one of these; a paragraph without them is no candidate.
-ANCHORS = r"(?i)licen[sc]|copyright|copyleft|\(c\) (19|20)\d\d|warrant(y|ies)|permission|redistribut|public domain|unlicense|all rights reserved|spdx|creative commons|\bcc[- ]by|\bcc0\b|\b[al]?gpl"
+#: Every template and labelled licence row holds one of these (tests say so); a paragraph without them is no candidate.
+ANCHORS = r"(?i)released under|distributed under|under the terms|use it under|\b(?-i:MIT)\b|\bapache\b|\bbsd\b|\bmpl\b|mozilla|\bisc\b|confidential|proprietary|unauthori[sz]ed|strictly prohibited|hope that it will be useful|free to copy|licen[sc]|copyright|copyleft|\(c\) (19|20)\d\d|warrant(y|ies)|permission|redistribut|public domain|unlicense|all rights reserved|spdx|creative commons|\bcc[- ]by|\bcc0\b|\b[al]?gpl"
 
 # What the licences themselves say, in part, and the names by which notices call them.
 TEXTS = {
@@ -145,26 +145,33 @@ class Model:
 
 
 def train(spark: SparkSession, rows: list[tuple[str, str]] | None = None, precision: float = PRECISION) -> Model:
-    """Fits on four fifths of the labelled table and calibrates on the rest.
+    """Calibrates on a fifth of the labelled table after a fit on the rest, then fits on the whole table.
 
-    The threshold is the least probability at which predictions on the held rows are right with that precision, raised
-    half way to certainty where none is wrong; below it a family is unknown.
+    Notices are held out by the name that they give, so no held name was learnt from. The threshold is the least
+    probability at which predictions on the held rows are right with that precision; below it a family is unknown.
     """
     rows = rows or labelled()
     families = sorted({f for f, _ in rows} - {NONE}) + [NONE]
-    table = _literal(spark, [(i, float(families.index(f)), t) for i, (f, t) in enumerate(rows)], "i: int, label: double, text: string", ["i", "label", "text"])
-    table = table.withColumn("grams", grams_of(words_of(F.col("text")))).withColumn("held", F.col("i") % 5 == 3).coalesce(1).cache()
-    try:
-        vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=FEATURES, minDF=1.0).fit(table.where(~F.col("held")))
-        coded = vectors.transform(table).cache()
-        fitted = LogisticRegression(regParam=0.002, elasticNetParam=0.2, maxIter=60, family="multinomial", standardization=False).fit(coded.where(~F.col("held")))
-        weights, intercepts = fitted.coefficientMatrix.toArray().T, fitted.interceptVector.toArray()
-        held = coded.where("held").select("label", "grams").collect()
+    named = {(family, frame.format(name)): at for at, (family, name) in enumerate((f, n) for f, names in NAMES.items() for n in names) for frame in FRAMES}
+    held_out = [named.get(row, i) % 5 == 3 for i, row in enumerate(rows)]
+    table = _literal(spark, [(i, float(families.index(f)), t, h) for i, ((f, t), h) in enumerate(zip(rows, held_out))], "i: int, label: double, text: string, held: boolean", ["i", "label", "text", "held"])
+    table = table.withColumn("grams", grams_of(words_of(F.col("text")))).coalesce(1).cache()
+
+    def fit(learnt: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+        vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=FEATURES, minDF=1.0).fit(learnt)
+        coded = vectors.transform(learnt).cache()
+        fitted = LogisticRegression(regParam=0.002, elasticNetParam=0.2, maxIter=60, family="multinomial", standardization=False).fit(coded)
         coded.unpersist()
+        return vectors.vocabulary, fitted.coefficientMatrix.toArray().T, fitted.interceptVector.toArray()
+
+    try:
+        vocabulary, weights, intercepts = fit(table.where(~F.col("held")))
+        held = table.where("held").select("label", "grams").collect()
+        whole = fit(table)
     finally:
         table.unpersist()
-    at = {g: i for i, g in enumerate(vectors.vocabulary)}
-    right, wrong = [], [0.0]
+    at = {g: i for i, g in enumerate(vocabulary)}
+    right, wrong = [], []
     for r in held:
         logits = weights[[at[g] for g in r.grams if g in at]].sum(axis=0) + intercepts
         p = np.exp(logits - logits.max())
@@ -174,9 +181,8 @@ def train(spark: SparkSession, rows: list[tuple[str, str]] | None = None, precis
             (right if k == int(r.label) else wrong).append(float(p[k]))
     # Platt's idea without its curve: the cut where the held rows' precision holds.
     cuts = sorted({0.35, *right})
-    good = [c for c in cuts if (n := sum(x >= c for x in right)) and n / (n + sum(x >= c for x in wrong[1:])) >= precision]
-    threshold = min(good, default=0.5)
-    return Model(families, vectors.vocabulary, weights, intercepts, threshold)
+    good = [c for c in cuts if (n := sum(x >= c for x in right)) and n / (n + sum(x >= c for x in wrong)) >= precision]
+    return Model(families, *whole, min(good, default=0.5))
 
 
 def templates(spark: SparkSession) -> DataFrame:

@@ -344,3 +344,13 @@ def test_licenses(spark):
     plan = out._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert all(0 <= x.probability <= 1 for x in out.select(F.col("probability")).collect())
+
+
+def test_every_licence_row_is_a_candidate(spark):
+    rows = [t for f, t in licenses.labelled() if f != licenses.NONE] + [t for texts in licenses.TEXTS.values() for t in [*texts, " ".join(texts)]]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "id int, k int, text string")
+    assert {x.id for x in licenses.paragraphs(df).select("id").collect()} == set(range(len(rows)))
+    docs = spark.createDataFrame([(1, rows[-2]), (2, licenses.TEXTS["proprietary"][2]), (3, "Released under BSD-3-Clause."), (4, "Released under Apache-2.0."), (5, "You may use it under MPL 2.0."), (6, "Released under MIT.")], "doc_id long, text string")
+    model = licenses.train(spark)
+    got = {x.doc_id: x.family for x in licenses.license_scan(docs, model=model).collect()}
+    assert [got[i] for i in (2, 3, 4, 5, 6)] == ["proprietary", "bsd", "apache", "mpl", "mit"]
