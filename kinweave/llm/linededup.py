@@ -498,9 +498,11 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int
     A row goes if nothing but white space is left of a text that lost lines.
     """
     marked, _ = classes(df, text, doc_id, edits, min_chars, word_chars, exact_chars)
-    drops = marked.where(~F.coalesce("is_first", F.lit(False))).groupBy("id", "k").agg(F.collect_set("line_no").alias("dropped")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.col("dropped").alias("__dropped"))
-    own, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    joined = df.join(drops, own.eqNullSafe(F.col("__id")) & (F.xxhash64(own, body) == F.col("__k")), "left")
-    left = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
-    joined = joined.withColumn("__left", F.when(F.col("__dropped").isNull(), body).otherwise(left)).where(F.col("__dropped").isNull() | F.col("__left").rlike(r"\S"))
-    return joined.select(*[F.col("__left").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns])
+    drops = marked.where(~F.coalesce("is_first", F.lit(False))).groupBy("id", "k").agg(F.collect_set("line_no").alias("dropped"))
+    # The caller's columns travel inside one, so that no name of theirs meets one of ours.
+    own, body = F.col(f"row.`{doc_id}`"), F.col(f"row.`{text}`")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    joined = rows.join(drops, own.eqNullSafe(F.col("id")) & (F.xxhash64(own, body) == F.col("k")), "left")
+    left = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    joined = joined.withColumn("left", F.when(F.col("dropped").isNull(), body).otherwise(left)).where(F.col("dropped").isNull() | F.col("left").rlike(r"\S"))
+    return joined.select(*[F.col("left").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -63,9 +63,41 @@ def test_jaccard_join(spark):
     assert sorted(x.doc_id for x in shingles.keep_one(df).collect()) == sorted(set(wanted.values()))
 
 
-def test_depth_reaches_recall():
-    depth = shingles.depth_for(0.8)
-    assert 1 - (1 - 0.8**depth) ** shingles.TREES >= shingles.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** shingles.TREES
+def test_prefixes_shorten_until_the_recall_is_met():
+    import numpy as np
+
+    floor = shingles.shortest(0.8)
+    assert shingles.meeting(0.8, floor, shingles.TREES) >= shingles.RECALL > shingles.meeting(0.8, floor + 1, shingles.TREES)
+    at = 0.8 + 0.2 * np.arange(shingles.GRADES) / shingles.GRADES
+    for links in ([0] * 20, [5] + [0] * 19, [0] * 19 + [10**6], [1000] * 20, [0] * 10 + [10**5] * 10):
+        links = np.array(links, float)
+        depth = shingles.shortened(links, 8, 0.8, shingles.TREES, floor, shingles.RECALL)
+        real = (links + (at == 0.8)) / shingles.meeting(at, 8, shingles.TREES)
+        share = lambda d: (real * shingles.meeting(at, d, shingles.TREES)).sum() / real.sum()  # noqa: E731, B023
+        assert floor <= depth <= 8 and share(depth) >= shingles.RECALL and (depth == 8 or share(depth + 1) < shingles.RECALL)
+    # Many links of nearly equal sets need no short prefixes; links at the wanted similarity do.
+    assert shingles.shortened(np.array([0] * 19 + [10**6]), 8, 0.8, 20, floor, 0.999) == 8
+    assert shingles.shortened(np.array([100.0] + [0] * 19), 8, 0.8, 20, floor, 0.999) == floor
+
+
+@pytest.mark.parametrize("floor", [1, 2, 3])
+def test_forest_connects_what_shares_a_prefix(spark, floor):
+    r = random.Random(11)
+    rows = [(i * 7919 % 1000 - 500, bytes(r.choice(b"ab") for _ in range(3 * 4))) for i in range(300)]
+    df = spark.createDataFrame(rows, "s long, labels binary").repartition(3)
+    links = [(x.a, x.b, x.depth) for x in shingles.forest(df, trees=3, deepest=4, floor=floor).collect()]
+    ids = [s for s, _ in rows]
+    for depth in range(floor, 5):
+        same = defaultdict(list)
+        for s, label in rows:
+            for t in range(3):
+                same[t, label[4 * t : 4 * t + depth]].append(s)
+        wanted = roots(ids, [(x[0], y) for x in same.values() for y in x])
+        assert roots(ids, [(a, b) for a, b, d in links if d >= depth]) == wanted
+        # No link joins what doesn't agree.
+        held = dict(rows)
+        assert all(any(held[a][4 * t : 4 * t + d] == held[b][4 * t : 4 * t + d] for t in range(3)) for a, b, d in links)
+    assert len(links) <= 300 * 3 * 4
 
 
 def distance(a, b):

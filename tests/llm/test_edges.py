@@ -9,7 +9,7 @@ from kinweave.llm.queries import word_bpe_path
 LONG = "the quick brown fox jumps over the lazy dog and runs away " * 3000
 TEXTS = [(1, "the cat sat on the mat and looked at the dog"), (1, "the cat sat on the mat and looked at the dog"), (2, None), (3, ""), (None, "le chat est sur le tapis avec le chien"), (4, LONG), (5, " \n\t"), (6, "x" * 50_000), (None, None)]
 #: Names that operators use inside, and the columns they return.
-EXTRA = {"id": 1, "k": "a", "s": 2, "score": "z", "spans": 0, "row": 1, "part": 3, "class_id": 1, "n_tokens": "q", "label": 1, "component": 1}
+EXTRA = {"id": 1, "k": "a", "s": 2, "score": "z", "spans": 0, "row": 1, "part": 3, "class_id": 1, "n_tokens": "q", "label": 1, "component": 1, "dropped": 0, "left": "l", "first": 3, "__id": 1, "__k": 2, "__dropped": 1, "__left": 4, "m": 5, "n": 6}
 
 
 @pytest.fixture(scope="module")
