@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, crc_bucket, cut, forget, kept, narrow, prefix_sums, texts_of
+from .common import Memo, batch_of, crc_bucket, cut, forget, kept, narrow, packed_by_part, prefix_sums, texts_of
 
 #: Words that are clustered one by one, groups of the others by their ending, classes, sweeps over the words at most.
 CLUSTERED, ENDINGS, CLASSES, SWEEPS = 2_048, 256, 64, 8
@@ -41,11 +41,7 @@ def word_key(word: bytes) -> int:
 
 def _dealt(keys: np.ndarray, rest: np.ndarray, parts: int) -> list[bytes]:
     """Pairs of numbers packed for each part of the key space."""
-    part = ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    packed = np.stack((keys[order], rest[order]), axis=1)
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    return [packed[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+    return packed_by_part(((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64), parts, keys, rest)
 
 
 def _unpacked(column: pa.ChunkedArray) -> np.ndarray:

@@ -113,3 +113,13 @@ def prefix_sums(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts) + 1, dtype=np.int64)
     np.cumsum(counts, out=out[1:])
     return out
+
+
+def packed_by_part(part: np.ndarray, parts: int, *columns: np.ndarray) -> list[bytes]:
+    """Rows of unsigned 64-bit columns, packed for each part in turn."""
+    # Numbers of two bytes are sorted by counting.
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    rows = np.stack([c[order] for c in columns], axis=1)
+    edges = np.zeros(parts + 1, np.int64)
+    np.cumsum(np.bincount(part, minlength=parts), out=edges[1:])
+    return [rows[a:b].tobytes() for a, b in zip(edges, edges[1:])]

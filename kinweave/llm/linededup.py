@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, cut, forget, in_portions, narrow, prefix_sums, texts_of
+from .common import arrow_map, batch_of, cut, forget, in_portions, narrow, packed_by_part, prefix_sums, texts_of
 from .components import components
 
 #: Edits between lines taken for the same; lines with fewer characters are in no edit join; entries a
@@ -44,9 +44,9 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_hash(line: str) -> int:
-    """64 bits of a normal line, as a signed long."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))).astype(np.int64))
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """128 bits of each normal line, in two columns."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), np.uint64).reshape(-1, 2)
 
 
 class Powers:
@@ -87,7 +87,7 @@ def _places(length: np.ndarray, edits: int, i: int) -> tuple[np.ndarray, np.ndar
 
 
 def keys_of(lines: list[str], edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and line numbers of the index, keys and line numbers of the probes, for normal lines."""
+    """Keys and line numbers of the index, keys and line numbers of the probes, for normal lines. Index entries are probes as well."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     ends = prefix_sums(sizes)
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -110,6 +110,8 @@ def keys_of(lines: list[str], edits: int, min_chars: int) -> tuple[np.ndarray, n
             start, length = _places(other[some], edits, i)
             # Where the segment can lie if what precedes it and what follows it take at most the edits left to them.
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                if not shorter and not move:
+                    continue  # the line's own index entry
                 at = start + move
                 fits = np.flatnonzero((at >= 0) & (at + length <= sizes[some]))
                 own = some[fits]
@@ -179,7 +181,10 @@ def word_keys(lines: list[str], word_chars: int) -> tuple[np.ndarray, np.ndarray
         for some, segment, move, keys, of in ((own, i, 0, index, index_of), (looks, moved, moves, probe, probe_of)):
             n = sizes[some][:, None]
             at = place(segment, n) + move
-            row, column = np.nonzero((at >= 0) & (at + length <= n))
+            fits = (at >= 0) & (at + length <= n)
+            if keys is probe:
+                fits &= (n > high) | (moves != 0)  # other lines' segments at their own place are their index entries
+            row, column = np.nonzero(fits)
             at = first[some][row] + at[row, column]
             keys.append(_mixed((sums[at + length] - sums[at]) * down[at], np.full(len(at), (1 << 32) + low), segment[column]))
             of.append(number[some[row]])
@@ -293,15 +298,15 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """id, k, line_no (from 0), h, h2 of every line of min_chars or more characters in its normal form."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, number, digests = [], [], []
+        row, number, lines = [], [], []
         for i, x in enumerate(texts_of(batch.column("text"))):
             for n, line in enumerate(x.split("\n")):
                 if len(line) >= min_chars and len(line := normal(line)) >= min_chars:
                     row.append(i)
                     number.append(n)
-                    digests.append(line.encode("utf-8", "surrogatepass"))
+                    lines.append(line)
         row = pa.array(row, pa.int64())
-        h, h2 = (np.fromiter(map(f, digests), np.uint64, len(digests)).view(np.int64) for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest))
+        h, h2 = (x.copy() for x in line_hashes(lines).view(np.int64).T)
         return batch_of(["id", "k", "line_no", "h", "h2"], [batch.column("id").take(row), batch.column("k").take(row), pa.array(number, pa.int32()), h, h2])
 
     return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, k long, line_no int, h long, h2 long")
@@ -328,30 +333,24 @@ def _candidates(docs: DataFrame, edits: int, min_chars: int, word_chars: int) ->
             out = []
             for keys, ids in ((held[0], held[1]), (held[2], held[3])):
                 key, own = np.concatenate(keys), np.concatenate(ids)
-                part = (key % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                packed = np.stack((key[order], own[order]), axis=1)
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                out.append([packed[a:b].tobytes() for a, b in zip(edges, edges[1:])])
+                out.append(packed_by_part((key % np.uint64(parts)).astype(np.int64), parts, key, own))
             for x in held:
                 x.clear()
             return batch_of(["part", "indexed", "probes"], [pa.array(range(parts), pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())])
 
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
-                lines, hashes = [], []
+                lines = []
                 for x in texts_of(whole.slice(start, 256).column("text")):
                     for line in x.split("\n"):
                         if len(line) >= min_chars and len(line := normal(line)) >= min_chars:
-                            h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-                            if h not in seen:
+                            if (h := hash(line)) not in seen:
                                 seen.add(h)
                                 lines.append(line)
-                                hashes.append(h)
                 if len(seen) > 200_000:
                     seen.clear()
                 for a, b in in_portions([len(x) for x in lines], PORTION):
-                    own = np.array(hashes[a:b], dtype=np.uint64)
+                    own = line_hashes(lines[a:b])[:, 0]
                     index, index_of, probe, probe_of = _keys(lines[a:b], edits, min_chars, word_chars)
                     for place, x in zip(held, (index, own[index_of], probe, own[probe_of])):
                         place.append(x)
@@ -384,6 +383,7 @@ def _pairs(lines: list[str], group: np.ndarray, edits: int, min_chars: int, word
     """Numbers of lines of a group that share a segment where the join looks for it, each pair once, a few at a time."""
     index, index_of, probe, probe_of = _keys(lines, edits, min_chars, word_chars)
     index, probe = _mixed(index, group[index_of], 0), _mixed(probe, group[probe_of], 0)
+    probe, probe_of = np.concatenate((index, probe)), np.concatenate((index_of, probe_of))
     order = np.argsort(index, kind="stable")
     index, index_of = index[order], index_of[order]
     low, high = (np.searchsorted(index, probe, side) for side in ("left", "right"))
