@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,25 +193,34 @@ def word_keys(lines: list[str], word_chars: int) -> tuple[np.ndarray, np.ndarray
 
 
 _WORDS = re.compile("[{0}]|[^ {0}]+".format("".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)))
-_words = functools.lru_cache(1024)(_WORDS.findall)
+
+
+@functools.lru_cache(8192)
+def _words(line: str) -> tuple[list[str], Counter]:
+    words = _WORDS.findall(line)
+    return words, Counter(words)
 
 
 def near(a: str, b: str, edits: int, word_chars: int) -> bool:
     """Whether two lines are within `edits` edits or, if long enough, within the edits of words that their length allows."""
-    if within(a, b, edits):
+    if a == b:
         return True
-    if min(len(a), len(b)) < word_chars:
+    close, long = abs(len(a) - len(b)) <= edits, min(len(a), len(b)) >= word_chars
+    if not close and not long:
         return False
-    a, b = _words(a), _words(b)
-    most = word_edits(min(len(a), len(b)))
-    if not most or abs(len(a) - len(b)) > most:
+    (words, count), (others, other) = _words(a), _words(b)
+    most = word_edits(min(len(words), len(others))) if long else 0
+    # An edit of a word leaves all other words; one of a letter touches three words at most, where a letter alone is one.
+    room = max(most, 3 * edits if close else 0)
+    if abs(len(words) - len(others)) > room:
         return False
-    # Each edit takes one word at most out of a's, and one out of b's.
-    own, other = set(a), set(b)
-    if len(own - other) > most or len(other - own) > most:
+    least = max(len(words), len(others)) - sum([n if n < (m := other[w]) else m for w, n in count.items() if w in other])
+    if close and least <= 3 * edits and within(a, b, edits):
+        return True
+    if not most or least > most:
         return False
-    a, b = _middles(a, b)
-    return max(len(a), len(b)) <= most or apart(a, b) <= most
+    words, others = _middles(words, others)
+    return max(len(words), len(others)) <= most or apart(words, others) <= most
 
 
 def apart(a: list[str], b: list[str]) -> int:
@@ -401,7 +411,8 @@ def _pairs(lines: list[str], group: np.ndarray, edits: int, min_chars: int, word
         step = np.arange(len(own)) - np.repeat(np.cumsum(counts[x:y]) - counts[x:y], counts[x:y])
         other = index_of[np.repeat(low[x:y], counts[x:y]) + step]
         met = own != other
-        yield from map(tuple, np.unique(np.stack((own[met], other[met]), axis=1), axis=0).tolist())
+        found = np.unique(own[met].astype(np.int64) << 32 | other[met])
+        yield from zip((found >> 32).tolist(), (found & 0xFFFFFFFF).tolist())
 
 
 def _verify(edits: int, min_chars: int, word_chars: int):

@@ -38,6 +38,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_ids_with_many_links(spark, monkeypatch):
+    r = random.Random(3)
+    monkeypatch.setattr(components, "HOT", 8)
+    for centre in (0, 500, 10_000):
+        links = [(centre, x) for x in r.sample(range(1, 9_999), 300)] + [(r.randrange(20_000, 20_400), r.randrange(20_000, 20_400)) for _ in range(250)]
+        got = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == roots({x for a, b in links if a != b for x in (a, b)}, links)
+
+
 def words(r, n, vocabulary="the of and to in a is that it was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people".split()):
     return [r.choice(vocabulary) + r.choice(["", "", "s", "ed", "ing"]) for _ in range(n)]
 
@@ -134,6 +143,29 @@ def test_edit_distances():
             assert linededup.within(a, b, edits) == (distance(a, b) <= edits)
 
 
+def test_near_lines_are_those_within_edits():
+    r = random.Random(22)
+    for letters in ("ab ", "a 字b", "字 あx"):
+        for _ in range(1500):
+            a = linededup.normal("".join(r.choice(letters) for _ in range(r.randrange(2, 30))))
+            b = linededup.normal(edited(r, a, r.randrange(5), letters))
+            assert linededup.near(a, b, 2, 10**6) == (distance(a, b) <= 2), (a, b)
+            words = [linededup._WORDS.findall(x) for x in (a, b)]
+            wanted = distance(a, b) <= 2 or distance(*words) <= linededup.word_edits(min(map(len, words)))
+            assert linededup.near(a, b, 2, 0) == wanted, (a, b)
+
+
+def test_segments_meet_wherever_lines_are_near():
+    r = random.Random(23)
+    for _ in range(3000):
+        a = "".join(r.choice("ab") for _ in range(r.randrange(6, 40)))
+        b = edited(r, a, r.randrange(3), "abc")
+        if len(b) >= 4 and distance(a, b) <= 2:
+            index, index_of, probe, probe_of = linededup.keys_of([a, b], 2, 4)
+            probe, probe_of = [*probe, *index], [*probe_of, *index_of]
+            assert any(x == y and i != j for x, i in zip(index, index_of) for y, j in zip(probe, probe_of)), (a, b)
+
+
 def test_line_dedup(spark):
     r = random.Random(8)
     lines = [" ".join(words(r, r.randrange(6, 14))) for _ in range(40)]
@@ -194,7 +226,8 @@ def test_word_join_finds_all_near_lines():
         lines = [" ".join(a), " ".join(b)]
         if distance(a, b) <= linededup.word_edits(min(len(a), len(b))) and min(map(len, lines)) >= 100:
             index, index_of, probe, probe_of = linededup.word_keys(lines, 100)
-            met = {(i, j) for x, i in zip(index.tolist(), index_of.tolist()) for y, j in zip(probe.tolist(), probe_of.tolist()) if x == y and i != j}
+            probe, probe_of = [*probe, *index], [*probe_of, *index_of]  # index entries are probes as well
+            met = {(i, j) for x, i in zip(index.tolist(), index_of.tolist()) for y, j in zip(map(int, probe), map(int, probe_of)) if x == y and i != j}
             assert met and linededup.near(*lines, 2, 100)
         assert linededup.apart(a[:40], b[:40]) == distance(a[:40], b[:40])
 
