@@ -6,17 +6,21 @@ unchanged, so exact hits of the pieces give every place to look at; Myers' bit-p
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, narrow, texts_of
+from .common import arrow_map, batch_of, kept, narrow, texts_of
 
-#: Edits allowed as a share of an item's characters; items below MIN_CHARS are too short to tell; characters of items in a block.
-ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.1, 16, 4_000_000
+#: Edits allowed as a share of an item's characters; items with fewer characters are in no text (1: all but empty ones are
+#: looked for); characters of items in a block.
+ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.1, 1, 4_000_000
 GRAM = 5
 
 
@@ -114,64 +118,62 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> list[list[tuple]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int, min_chars: int) -> Iterator[list[tuple]]:
     """The items in blocks of about block_chars characters; blocks are what is broadcast, one at a time."""
     items = narrow(benchmark, item_id=item_id, text=text).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
-        yield [(r.item_id, t) for r in items.where(block == k).collect() if len(t := normal(r.text)) >= MIN_CHARS]
+        yield [(r.item_id, t) for r in items.where(block == k).collect() if len(t := normal(r.text)) >= max(1, min_chars)]
 
 
-def _matcher(shared, rate: float, fresh: dict) -> Matcher:
-    if not fresh:
-        fresh["matcher"] = Matcher([t for _, t in shared.value], rate)
-    return fresh["matcher"]
+def _searched(rows: DataFrame, items: list[tuple], rate: float, per_text: Callable, schema) -> DataFrame:
+    """rows, a batch at a time, through per_text(batch, matcher, items) with the matcher of one block of items.
+
+    The items are broadcast; a worker makes their automaton once, not once a task.
+    """
+    shared, key = rows.sparkSession.sparkContext.broadcast(items), f"items {uuid.uuid4().hex}"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return per_text(batch, kept(key, lambda: Matcher([t for _, t in shared.value], rate)), shared.value)
+
+    return arrow_map(rows, run, schema, holds=True)
 
 
-def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, item_id, distance: every item that a text holds with int(error_rate * length) edits at most.
 
     Texts and items are compared in lower case with white space folded; distance is the least over all parts of the text.
-    Null texts hold nothing; null items and items under MIN_CHARS characters are in no text. Each row of df is searched
-    whole and alone: repeated rows give repeated results. Items with equal texts are each reported.
+    Null and empty texts hold nothing; null items, those without a character and those under min_chars are in no text, and items
+    of few characters are found where they stand unchanged. Each row of df is searched
+    whole, however long, and alone: repeated rows give repeated results. Items with equal texts are each reported. Empty
+    tables give no rows, and other columns are not looked at.
     """
-    kinds = f"doc_id {df.schema[doc_id].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, distance int"
-    rows, found = narrow(df, doc_id=doc_id, text=text), None
-    for items in _blocks(benchmark, item_id, item_text, block_chars):
-        part = _search(rows, items, error_rate, kinds, benchmark.schema[item_id].dataType)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _search(rows: DataFrame, items: list[tuple], rate: float, kinds: str, item_type) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    shared, arrow_type = rows.sparkSession.sparkContext.broadcast(items), to_arrow_type(item_type)
-    fresh: dict = {}
+    kinds = f"doc_id {df.schema[doc_id].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, distance int"
+    rows, item_type = narrow(df, doc_id=doc_id, text=text), to_arrow_type(benchmark.schema[item_id].dataType)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        matcher, at, ids, distances = _matcher(shared, rate, fresh), [], [], []
+    def search(batch: pa.RecordBatch, matcher: Matcher, items: list[tuple]) -> pa.RecordBatch:
+        at, ids, distances = [], [], []
         for i, x in enumerate(texts_of(batch.column("text"))):
             for k, d in matcher.find(normal(x)).items():
                 at.append(i)
-                ids.append(shared.value[k][0])
+                ids.append(items[k][0])
                 distances.append(d)
-        return batch_of(["doc_id", "item_id", "distance"], [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, arrow_type), pa.array(distances, pa.int32())])
+        return batch_of(["doc_id", "item_id", "distance"], [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, item_type), pa.array(distances, pa.int32())])
 
-    return arrow_map(rows, run, kinds)
+    return functools.reduce(DataFrame.unionByName, [_searched(rows, items, error_rate, search, kinds) for items in _blocks(benchmark, item_id, item_text, block_chars, min_chars)])
 
 
-def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """df without the rows whose text holds an item (see matches()); its columns and other rows stay as they are."""
+def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """df without the rows whose text holds an item (see matches()); its columns, of whatever names, and other rows stay as they are."""
     at = df.columns.index(text)
-    for items in _blocks(benchmark, item_id, item_text, block_chars):
-        shared = df.sparkSession.sparkContext.broadcast(items)
 
-        def run(batch: pa.RecordBatch, shared=shared, fresh={}) -> pa.RecordBatch:  # noqa: B006
-            matcher = _matcher(shared, error_rate, fresh)
-            return batch.filter(pa.array([not matcher.find(normal(x)) for x in texts_of(batch.column(at))], pa.bool_()))
+    def search(batch: pa.RecordBatch, matcher: Matcher, items: list[tuple]) -> pa.RecordBatch:
+        return batch.filter(pa.array([not matcher.find(normal(x)) for x in texts_of(batch.column(at))], pa.bool_()))
 
-        df = arrow_map(df, run, df.schema)
+    for items in _blocks(benchmark, item_id, item_text, block_chars, min_chars):
+        df = _searched(df, items, error_rate, search, df.schema)
     return df

@@ -232,28 +232,49 @@ def test_word_join_finds_all_near_lines():
         assert linededup.apart(a[:40], b[:40]) == distance(a[:40], b[:40])
 
 
+def least_distance(item, text):
+    """The least distance of the item from any part of the text, by the plain table."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for d in text:
+        new = [0]
+        for j, c in enumerate(item, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row, best = new, min(best, new[-1])
+    return best
+
+
 def test_decontamination(spark):
     r = random.Random(6)
-    items = [" ".join(words(r, 30)) for _ in range(12)] + ["same item text here for two", "same item text here for two"]
+    items = [" ".join(words(r, 30)) for _ in range(6)] + ["same item text here for two", "same item text here for two", "q", "zx", "Short One", "a few words", "", "  "]
     docs = []
-    for i in range(60):
-        k = r.randrange(len(items))
-        docs.append((i, " ".join(words(r, 40)) + " " + edited(r, items[k], r.randrange(0, len(items[k]) // 7)) + "\n  " + " ".join(words(r, 40)).upper()))
-    wanted = {(i, k): d for i, t in docs for k, x in enumerate(items) if (d := decontaminate.Item(x, 0.1).distance(decontaminate.normal(t))) <= len(x) // 10}
+    for i in range(40):
+        k = r.randrange(len(items) - 2)
+        docs.append((i, " ".join(words(r, 40)) + " " + edited(r, items[k], r.randrange(0, len(items[k]) // 7 + 1)) + "\n  " + " ".join(words(r, 40)).upper()))
+    plain = [x.lower().strip() for x in items]
+    wanted = {(i, k): d for i, t in docs for k, x in enumerate(plain) if x and (d := least_distance(x, " ".join(t.lower().split()))) <= len(x) // 10}
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     for block in (4_000_000, 500):
         got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.matches(df, bench, block_chars=block).collect()}
-        assert got == wanted and len(wanted) > 20
+        assert got == wanted and len(wanted) > 20 and len({k for _, k in wanted}) == len(items) - 2
+    assert {x.item_id for x in decontaminate.matches(df, bench, min_chars=16).collect()} == {k for _, k in wanted if len(items[k]) >= 16}
     assert {x.doc_id for x in decontaminate.clean(df, bench, block_chars=500).collect()} == {i for i, _ in docs} - {i for i, _ in wanted}
 
 
 def test_myers():
     r = random.Random(3)
-    for _ in range(500):
-        a, b = ("".join(r.choice("ab c") for _ in range(r.randrange(1, n))) for n in (70, 90))
-        least = min(distance(a, b[i:j]) for i in range(0, len(b) + 1, max(1, len(b) // 6)) for j in range(i, len(b) + 1)) if len(b) < 12 else None
-        got = decontaminate.Item(a, 0.1).distance(b)
-        assert least is None or got <= least
+    for _ in range(1500):
+        a, b = ("".join(r.choice("ab c") for _ in range(r.randrange(1, n))) for n in (r.choice([5, 70]), r.choice([6, 90])))
+        assert decontaminate.Item(a, 0.1).distance(b) == least_distance(a, b)
+
+
+def test_pieces_find_every_place():
+    r = random.Random(14)
+    for _ in range(800):
+        item = "".join(r.choice("ab c") for _ in range(r.randrange(1, 60))).strip() or "a"
+        text = "".join(r.choice("abc ") for _ in range(r.randrange(40))) + edited(r, item, r.randrange(len(item) // 8 + 1), "abc ") + "".join(r.choice("abc ") for _ in range(r.randrange(40)))
+        d = least_distance(item, text)
+        assert decontaminate.Matcher([item], 0.1).find(text) == ({0: d} if d <= len(item) // 10 else {}), (item, text)
 
 
 def test_secrets(spark):

@@ -53,6 +53,14 @@ def test_filters_keep_columns(docs, items):
     assert linededup.dedup(docs.where("false")).count() == shingles.keep_one(docs.where("false")).count() == 0
 
 
+def test_matches(docs, items, spark):
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs.withColumns({"item_id": F.lit(9), "distance": F.lit("x")}), items.withColumn("doc_id", F.lit(1))).collect())
+    assert got == [(4, 1, 0)]
+    again = spark.createDataFrame([(1, "a short one"), (1, "a short one"), (None, "SHORT"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0, r.item_id) for r in decontaminate.matches(again, items).collect())) == [(0, 4), (1, 4), (1, 4)]
+    assert decontaminate.matches(docs.where("false"), items).count() == decontaminate.matches(docs, items.where("false")).count() == 0
+
+
 def test_null_and_empty_results(docs):
     for name, check in {
         "brown": lambda r: r.n_tokens == 1,
