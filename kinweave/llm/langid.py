@@ -7,18 +7,20 @@ import re
 import uuid
 from array import array
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, arrow_map, batch_of, crc_bucket, kept, narrow, texts_of
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Longest and shortest n-grams for words that aren't known; training rows read, words and n-grams kept per language at most.
-LONGEST, SHORTEST, TRAIN_ROWS, MODEL_WORDS, MODEL_GRAMS = 5, 1, 4_000, 20_000, 30_000
-MEMO_WORDS, LONG_WORD = 200_000, 64
+#: Longest and shortest n-grams for words that aren't known; labelled rows learned from, at most.
+LONGEST, SHORTEST, TRAIN_ROWS = 5, 1, 1_000
+#: Words that a worker remembers the score rows of, and the length beyond which it looks them up anew.
+MEMO_WORDS, MEMO_CHARS = 150_000, 64
 UNKNOWN = "und"
 
 
@@ -42,13 +44,13 @@ class Model:
         if (at := self.word_at.get(word)) is not None:
             return np.int32(at).tobytes()
         padded, found, at, get = f" {word} ", [], 0, self.gram_at.get
-        end, step = len(padded), 1 if len(padded) <= LONG_WORD else LONGEST
+        end = len(padded)
         while at < end:
             for size in range(min(LONGEST, end - at), SHORTEST - 1, -1):
                 if (gram := get(padded[at : at + size])) is not None:
                     found.append(gram)
                     break
-            at += step
+            at += 1
         return array("i", found).tobytes()
 
 
@@ -60,14 +62,16 @@ def split_training(df: DataFrame, doc_id: str = "doc_id", modulus: int = 3, held
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
     """A model from `rows` labelled rows at most, those with the lowest hash of the id: the documented bound of the fit.
 
-    Rows without a language or text teach nothing. Words are lower-cased runs of letters. Counts are summed on the
-    executors; MODEL_WORDS words and MODEL_GRAMS n-grams of each language at most come to the driver.
+    Rows without a language or text teach nothing. Words are lower-cased runs of letters, of any length. Counts are summed on the
+    executors; every word and n-gram of these rows comes to the driver, as many as `rows` texts hold.
     """
     labelled = narrow(df, id=doc_id, text=text, lang=lang).where("lang is not null").withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))))
     highest = labelled.select("key").orderBy("key").limit(rows).agg(F.max("key")).first()[0]
     if highest is None:
         return Model([], [], [], np.zeros((0, 0)))
     chosen = labelled.where(F.col("key") <= highest).limit(rows).where("text is not null").select("lang", "text")
+    # A limit leaves one partition.
+    chosen = chosen.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -77,17 +81,14 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         for lang, counts in words.items():
             for word, n in counts.items():
                 out[lang, True, word] += n
-                padded = f" {word[:LONG_WORD]} "
+                padded = f" {word} "
                 for size in range(SHORTEST, LONGEST + 1):
                     for i in range(len(padded) - size + 1):
                         out[lang, False, padded[i : i + size]] += n
         return batch_of(["lang", "is_word", "unit", "n"], [pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.bool_()), pa.array([k[2] for k in out], pa.string()), pa.array([*out.values()], pa.int64())])
 
-    # A word seen once says little about its frequency; its n-grams are counted.
-    counts = arrow_map(chosen, count, "lang string, is_word boolean, unit string, n long").groupBy("lang", "is_word", "unit").agg(F.sum("n").alias("n")).where("n > 1 or not is_word")
-    order = Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "unit")
-    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("is_word"), MODEL_WORDS).otherwise(MODEL_GRAMS)).drop("r").toArrow()
-    langs, is_word, units, n = (top.column(c).to_pylist() for c in ("lang", "is_word", "unit", "n"))
+    counts = arrow_map(chosen, count, "lang string, is_word boolean, unit string, n long").groupBy("lang", "is_word", "unit").agg(F.sum("n").alias("n")).toArrow()
+    langs, is_word, units, n = (counts.column(c).to_pylist() for c in ("lang", "is_word", "unit", "n"))
     languages = sorted(set(langs))
     index = {x: i for i, x in enumerate(languages)}
     words, grams = ({u: i for i, u in enumerate(sorted({u for u, w in zip(units, is_word) if w == kind}))} for kind in (True, False))
@@ -104,20 +105,20 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 def predict(df: DataFrame, model: Model, text: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
     """The columns that `keep` names (new name: column), then lang_pred and score for each row, from the text alone.
 
-    Null texts and texts without a letter are 'und' with score 0, and so is every text if nothing was learned. Ties go to
+    Other columns are left alone, whatever their names. Null texts and texts without a letter are 'und' with score 0, and so is every text if nothing was learned. Ties go to
     the language first in order. Texts are read whole. The score is the winner's share of the languages' likelihoods, as
     of ten average words at most. Rows come out one for one, repeated ones included.
     """
     keep = keep or {}
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the rows that it was learned from
     key = uuid.uuid4().hex
 
-    def opened() -> tuple[list[str], np.ndarray, Memo]:
+    def opened() -> tuple[list[str], np.ndarray, Memo, Callable]:
         own = shared.value.opened()
-        return own.languages, own.scores, Memo(own.rows, MEMO_WORDS)
+        return own.languages, own.scores, Memo(own.rows, MEMO_WORDS), own.rows
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        languages, scores, memo = kept(f"langid {key}", opened)
+        languages, scores, memo, look = kept(f"langid {key}", opened)
         best, share = [], []
         for x in texts_of(batch.column(len(keep))):
             words = WORDS.findall(x.lower())
@@ -126,7 +127,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: dict[str, str
                 share.append(0.0)
                 continue
             counts = Counter(words)
-            rows = [memo[w] for w in counts]
+            rows = [memo[w] if len(w) <= MEMO_CHARS else look(w) for w in counts]
             each = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
             weight = np.fromiter(counts.values(), np.float64, len(rows)) / np.maximum(each, 1)
             total = np.repeat(weight, each) @ scores[np.frombuffer(b"".join(rows), np.int32)]

@@ -341,6 +341,54 @@ def test_language(spark):
     assert [x.lang_pred for x in got if x.doc_id == 999] == ["und"]
 
 
+def plain_language(rows, text):
+    """Language and score by the rule alone: a word's log frequency, else the mean over its letters of the longest n-gram known from there."""
+    units = defaultdict(Counter)
+    for lang, t in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            units["word"][lang, w] += 1
+            for size in range(1, 6):
+                for i in range(len(w) + 3 - size):
+                    units[size][lang, f" {w} "[i : i + size]] += 1
+    languages = sorted({lang for lang, _ in rows})
+    known = {kind: {u for _, u in counts} for kind, counts in units.items()}
+    total = {(kind, lang): sum(counts[lang, u] + 0.1 for u in known[kind]) for kind, counts in units.items() for lang in languages}
+    log = lambda kind, lang, u: math.log10((units[kind][lang, u] + 0.1) / total[kind, lang])
+    words, sums = re.findall(r"[^\W\d_]+", text.lower()), dict.fromkeys(languages, 0.0)
+    for w in words:
+        if w in known["word"]:
+            found = [("word", w)]
+        else:
+            padded = f" {w} "
+            found = [next(((n, padded[i : i + n]) for n in range(min(5, len(padded) - i), 0, -1) if padded[i : i + n] in known[n]), None) for i in range(len(padded))]
+            found = [x for x in found if x]
+        for lang in languages:
+            sums[lang] += sum(log(kind, lang, u) for kind, u in found) / max(1, len(found))
+    if not words:
+        return "und", 0.0
+    best = max(languages, key=lambda x: (sums[x], [-ord(c) for c in x]))
+    scale = math.log(10) * min(10, len(words)) / len(words)
+    return best, 1 / sum(math.exp((sums[x] - sums[best]) * scale) for x in languages)
+
+
+def test_language_by_the_rule(spark):
+    r = random.Random(17)
+    letters = {"a": "abcdeé", "b": "bcdefg", "c": "\u65e5\u672c\u8a9e\u4e2d\u6587b"}
+    text = lambda lang, n: " ".join("".join(r.choice(letters[lang]) for _ in range(r.choice([2, 3, 4, 70]))) for _ in range(n))
+    train = [(lang, text(lang, 12)) for lang in "abc" * 8]
+    model = langid.train(spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(train)], "doc_id long, lang string, text string"))
+    asked = [text(r.choice("abc"), r.randrange(1, 20)) + " " + text(r.choice("abc"), 2) for _ in range(60)] + ["b", "zzz", "B" * 200, "1 2", "q" * 70]
+    got = langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, keep={"doc_id": "doc_id"}).collect()
+    for x in got:
+        lang, score = plain_language(train, asked[x.doc_id])
+        assert x.lang_pred == lang and abs(x.score - score) < 1e-9, asked[x.doc_id]
+    # Languages that were taught the same are a tie, which the first in order wins.
+    same = langid.train(spark.createDataFrame([(1, "b", "ab cd"), (2, "a", "ab cd")], "doc_id long, lang string, text string"))
+    assert [(x.lang_pred, x.score) for x in langid.predict(spark.createDataFrame([("ab xy",)], "text string"), same).collect()] == [("a", 0.5)]
+    nothing = langid.train(spark.createDataFrame([(1, None, "ab")], "doc_id long, lang string, text string"))
+    assert [(x.lang_pred, x.score) for x in langid.predict(spark.createDataFrame([("ab xy",)], "text string"), nothing).collect()] == [("und", 0.0)]
+
+
 def test_class_model(spark):
     r = random.Random(2)
     first, second = ["ba", "be", "bi", "bo", "bu"], ["ka", "ke", "ki", "ko", "ku"]
