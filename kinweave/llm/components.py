@@ -28,11 +28,11 @@ def _large_star(links: DataFrame, hot: int | None) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
-    return _with_least(both, least, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return _with_least(both, least, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(links: DataFrame, hot: int | None) -> DataFrame:
-    """links run from larger to smaller: each node and its smaller neighbours are linked to the least of them."""
+    """links run from larger to smaller, some more than once: each node and its smaller neighbours are linked to the least of them."""
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
     moved = _with_least(links, least, hot).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
@@ -54,7 +54,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not found[0] or tuple(found)[:2] == state:
             break
         state = tuple(found)[:2]
-        limit = max(HOT, found[0] // HOT_IDS)
+        # More than an even share of the links, in as many parts as Spark deals them out.
+        limit = max(HOT, found[0] // HOT_IDS, found[0] // int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         hot = limit if found[2] > limit else None
         now = cut(_small_star(_large_star(now, hot), hot))
     # Each id now has one link, to the least of its component.

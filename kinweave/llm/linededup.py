@@ -27,7 +27,7 @@ from .components import components
 
 #: Edits between lines taken for the same; lines with fewer characters are in no edit join; entries a
 #: task holds before it passes them on; lines of a large group compared at a time.
-EDITS, MIN_CHARS, FLUSH, TILE = 2, 30, 1_000_000, 4_096
+EDITS, MIN_CHARS, FLUSH, TILE = 2, 30, 1_000_000, 512
 #: Lines with as many characters are joined by words too: one edit in WORDS_AN_EDIT words, MOST_WORDS edits at most.
 WORD_CHARS, WORDS_AN_EDIT, MOST_WORDS = 100, 20, 64
 #: Scripts written without spaces: each letter counts as a word.
@@ -305,18 +305,25 @@ def _keyed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """id, k, line_no (from 0), h, h2 of every line of min_chars or more characters in its normal form."""
+    """id, k, line_no (from 0), h, h2 of every line of min_chars or more characters in its normal form.
+
+    Each row has one more line, of number -1 and with its count of lines as h.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, number, lines = [], [], []
-        for i, x in enumerate(texts_of(batch.column("text"))):
-            for n, line in enumerate(x.split("\n")):
+        row, number, lines, counts = [], [], [], []
+        for i, x in enumerate(batch.column("text").to_pylist()):
+            own = [] if x is None else x.split("\n")
+            counts.append(len(own))
+            for n, line in enumerate(own):
                 if len(line) >= min_chars and len(line := normal(line)) >= min_chars:
                     row.append(i)
                     number.append(n)
                     lines.append(line)
-        row = pa.array(row, pa.int64())
-        h, h2 = (x.copy() for x in line_hashes(lines).view(np.int64).T)
+        row = pa.array([*row, *range(len(counts))], pa.int64())
+        hashes = line_hashes(lines).view(np.int64)
+        h, h2 = np.concatenate((hashes[:, 0], np.array(counts, np.int64))), np.concatenate((hashes[:, 1], np.zeros(len(counts), np.int64)))
+        number += [-1] * len(counts)
         return batch_of(["id", "k", "line_no", "h", "h2"], [batch.column("id").take(row), batch.column("k").take(row), pa.array(number, pa.int32()), h, h2])
 
     return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, k long, line_no int, h long, h2 long")
@@ -418,7 +425,9 @@ def _pairs(lines: list[str], group: np.ndarray, edits: int, min_chars: int, word
 def _verify(edits: int, min_chars: int, word_chars: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("h", "ascending")])
-        component, h = table.column("component").to_numpy(), table.column("h").to_numpy()
+        component, h, side = (table.column(c).to_numpy() for c in ("component", "h", "side"))
+        # Of two tiles' lines, those of one are compared with the other's.
+        across = bool(len(table)) and table.column("i")[0] != table.column("j")[0]
         lines = [normal(x) for x in table.column("line").to_pylist()]
         root = list(range(len(lines)))
 
@@ -443,6 +452,8 @@ def _verify(edits: int, min_chars: int, word_chars: int):
             for x, y in _pairs([lines[x] for x in own], group, edits, min_chars, word_chars):
                 # Lines that others link already need no comparing.
                 x, y = own[x], own[y]
+                if across and side[x] == side[y]:
+                    continue
                 if (a := find(x)) != (b := find(y)) and (y, x) not in apart:
                     if near(lines[x], lines[y], edits, word_chars):
                         root[max(a, b)] = min(a, b)
@@ -455,56 +466,56 @@ def _verify(edits: int, min_chars: int, word_chars: int):
     return run
 
 
-def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The lines that belong to a class of two or more, and the keyed rows: (id, k, line_no, first), (id, text, k).
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The lines that belong to a class of two or more, and the keyed rows: (id, k, line_no, is_first), (id, k, n_lines).
 
-    Lines equal in normal form, or near(), or linked by such lines, are a class; `first` marks its first line
+    Lines equal in normal form, or near(), or linked by such lines, are a class; is_first marks its first line
     by id (nulls first), hash of the row and number. Lines under
     min_chars characters are in a class with equal ones only, those under exact_chars in none (1: all but blank ones are).
     """
     docs = _keyed(df, text, doc_id)
-    lines = cut(_lines(docs, min(min_chars, exact_chars)))
-    place = F.struct("id", "k", "line_no")
-    distinct = cut(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    kept_lines = cut(_lines(docs, min(min_chars, exact_chars)))
+    lines = kept_lines.where("line_no >= 0")
     met = components(_candidates(docs, edits, min_chars, word_chars))
-    sizes = met.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    # Most lines occur once and meet no other; what follows is about the rest.
+    often = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    some = cut(lines.join(often.unionByName(met.select(F.col("id").alias("h"))).distinct(), "h", "left_semi"))
+    distinct = cut(some.groupBy("h", "h2").agg(F.min(F.struct("id", "k", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
+    sizes = met.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     where = distinct.join(met.withColumnRenamed("id", "h"), "h").join(sizes, "component").select("h", "component", "tiles", F.col("first.id").alias("i_"), F.col("first.k").alias("k_"), F.col("first.line_no").alias("n_"))
     held = docs.join(where, F.col("i_").eqNullSafe(F.col("id")) & (F.col("k_") == F.col("k"))).select("component", "tiles", "h", F.element_at(F.split("text", "\n"), F.col("n_") + 1).alias("line"))
     parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = held.withColumn("own", F.pmod("h", "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select(
-        "component", "h", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "component", "h", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
         F.when(F.col("tiles") == 1, F.pmod("component", F.lit(parts))).otherwise(F.col("component")).alias("part"), (F.col("tiles") > 1).alias("large"),
     ).dropDuplicates(["h", "i", "j"])
-    same = components(dealt.groupBy("large", "part", "i", "j").applyInArrow(_verify(edits, min_chars, word_chars), "a long, b long"))
-    linked = same.withColumnRenamed("id", "h")
-    # Lines that no other is near are most; they take no part in the joins of classes, where they would share a null key.
+    linked = components(dealt.groupBy("large", "part", "i", "j").applyInArrow(_verify(edits, min_chars, word_chars), "a long, b long")).withColumnRenamed("id", "h")
     inside = distinct.join(linked, "h")
     firsts = inside.groupBy("component").agg(F.min("first").alias("f"))
     near = inside.drop("first").join(firsts, "component").select("h", "h2", F.col("f").alias("first"))
     alone = distinct.where("n > 1").join(linked.select("h"), "h", "left_anti").select("h", "h2", "first")
-    shared = near.unionByName(alone)
-    marked = lines.join(shared, ["h", "h2"]).select("id", "k", "line_no", (F.struct("id", "k", "line_no") == F.col("first")).alias("is_first"))
-    return marked, docs
+    marked = some.join(near.unionByName(alone), ["h", "h2"]).select("id", "k", "line_no", (F.struct("id", "k", "line_no") == F.col("first")).alias("is_first"))
+    return marked, kept_lines.where("line_no < 0").select("id", "k", F.col("h").cast("int").alias("n_lines"))
 
 
-def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
+def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
     """One row for each row of df: doc_id, n_lines, n_dropped, dropped (numbers from 0 of the lines to drop, in order).
 
     A line goes if it isn't the first of its class (see classes()). Null and empty texts drop nothing (a null text has no
-    lines, an empty one a single line). Rows alike in id and text are one document and keep the same lines.
+    lines, an empty one a single line); texts and lines of any length are read whole; an empty table gives no rows, and other
+    columns are not looked at. Rows alike in id and text are one document and keep the same lines.
     """
-    marked, docs = classes(df, text, doc_id, edits, min_chars, word_chars, exact_chars)
+    marked, rows = classes(df, text, doc_id, edits, min_chars, word_chars, exact_chars, tile)
     drops = marked.where(~F.coalesce("is_first", F.lit(False))).groupBy("id", "k").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
-    own = docs.select("id", "k", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"))
     return (
-        own.join(drops.select(F.col("id").alias("i"), F.col("k").alias("kk"), "dropped"), F.col("i").eqNullSafe(F.col("id")) & (F.col("kk") == F.col("k")), "left")
+        rows.join(drops.select(F.col("id").alias("i"), F.col("k").alias("kk"), "dropped"), F.col("i").eqNullSafe(F.col("id")) & (F.col("kk") == F.col("k")), "left")
         .select(F.col("id").alias("doc_id"), "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
     )
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, word_chars: int = WORD_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
-    """df with each repeated line taken out of its text (see repeated()), other columns as they are.
+    """df with each repeated line taken out of its text (see repeated()), other columns, of whatever names, as they are.
 
     A row goes if nothing but white space is left of a text that lost lines.
     """

@@ -188,8 +188,9 @@ def test_line_dedup(spark):
         for i, n in sorted(own)[1:]:
             dropped[i].add(n)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {x.doc_id: set(x.dropped) for x in linededup.repeated(df).collect()}
-    assert got == {i: dropped[i] for i, _ in docs} and any(got.values())
+    for tile in (512, 3):
+        got = {x.doc_id: set(x.dropped) for x in linededup.repeated(df, tile=tile).collect()}
+        assert got == {i: dropped[i] for i, _ in docs} and any(got.values())
     left = {x.doc_id: x.text for x in linededup.dedup(df).collect()}
     wanted = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in dropped[i]) for i, t in docs}
     assert left == {i: t for i, t in wanted.items() if t.strip() or not dropped[i]}
