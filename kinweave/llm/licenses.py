@@ -2,7 +2,8 @@
 
 Sparse logistic regression over word n-grams gives each candidate paragraph a licence family; a family whose probability
 is under the calibrated threshold is unknown, and a prediction counts as confirmed if the paragraph shares enough word
-pairs with one of the family's templates.
+pairs with one of the family's templates. Which paragraphs are worth scoring follows from the weights themselves: one that holds too
+little of them can't be named a licence, whatever else it says.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .common import cut, narrow
 LONGEST, FEATURES, CONFIRMS, PRECISION = 3, 4_096, 0.5, 0.99
 NONE, UNKNOWN = "none", "unknown"
 
-#: Every template and labelled licence row holds one of these (tests say so); a paragraph without them is no candidate.
-ANCHORS = r"(?i)released under|distributed under|under the terms|use it under|\b(?-i:MIT)\b|\bapache\b|\bbsd\b|\bmpl\b|mozilla|\bisc\b|confidential|proprietary|unauthori[sz]ed|strictly prohibited|hope that it will be useful|free to copy|licen[sc]|copyright|copyleft|\(c\) (19|20)\d\d|warrant(y|ies)|permission|redistribut|public domain|unlicense|all rights reserved|spdx|creative commons|\bcc[- ]by|\bcc0\b|\b[al]?gpl"
+#: Everyday words. N-grams of such words and numbers alone are no features, as they say nothing about licences.
+EVERYDAY = "a all an and any are as at be but by for from has have if in is it its may must no not of on or so that the their this to was will with you your".split()
+#: How much of what it takes to be named a licence the gate may leave out (see Model.gate).
+LEFT_OUT = 0.3
 
 # What the licences themselves say, in part, and the names by which notices call them.
 TEXTS = {
@@ -137,10 +140,40 @@ class Model:
     """families in order; weights: n-gram -> a weight for each family; intercepts; the calibrated threshold."""
 
     def __init__(self, families: list[str], grams: list[str], weights: np.ndarray, intercepts: np.ndarray, threshold: float):
-        self.families, self.grams, self.weights, self.intercepts, self.threshold = families, grams, weights, intercepts, threshold
+        self.families, self.grams, self.intercepts, self.threshold = families, grams, intercepts, threshold
+        self.weights = np.round(weights, 4)
+
+    def gate(self) -> tuple[dict[str, float], float] | None:
+        """Words with a share each, and the least sum of shares with which a paragraph can be named a licence; None: any can.
+
+        To be named, a paragraph's n-grams must make up for a family's lead of 'none' in the intercepts. Each n-gram's
+        largest part of any family's lead is given to one of its words, that of most n-grams; a paragraph whose words' shares
+        sum to less than 1 can't be named. Words of the least shares, of LEFT_OUT together, are left out.
+        """
+        none = self.families.index(NONE)
+        others = [i for i in range(len(self.families)) if i != none]
+        lead = self.intercepts[none] - self.intercepts[others]
+        if (lead <= 0).any():
+            return None
+        part = (np.maximum(0, self.weights[:, others] - self.weights[:, [none]]) / lead).max(axis=1)
+        held: dict[str, int] = {}
+        for gram in self.grams:
+            for word in set(gram.split()):
+                held[word] = held.get(word, 0) + (word not in EVERYDAY and not word.isdigit())
+        shares: dict[str, float] = {}
+        for gram, p in zip(self.grams, part.tolist()):
+            if p > 0:
+                owner = max(gram.split(), key=lambda w: (held[w], w))
+                shares[owner] = shares.get(owner, 0.0) + p
+        left = 0.0
+        for word in sorted(shares, key=lambda w: (shares[w], w)):
+            if left + shares[word] > LEFT_OUT:
+                break
+            left += shares.pop(word)
+        return shares, 1 - left - 1e-6
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(g, [round(float(x), 4) for x in w]) for g, w in zip(self.grams, self.weights) if np.abs(w).max() >= 5e-5]
+        rows = [(g, [float(x) for x in w]) for g, w in zip(self.grams, self.weights) if w.any()]
         return _literal(spark, rows, "gram: string, weights: array<double>", ["gram", "weights"])
 
 
@@ -155,7 +188,8 @@ def train(spark: SparkSession, rows: list[tuple[str, str]] | None = None, precis
     named = {(family, frame.format(name)): at for at, (family, name) in enumerate((f, n) for f, names in NAMES.items() for n in names) for frame in FRAMES}
     held_out = [named.get(row, i) % 5 == 3 for i, row in enumerate(rows)]
     table = _literal(spark, [(i, float(families.index(f)), t, h) for i, ((f, t), h) in enumerate(zip(rows, held_out))], "i: int, label: double, text: string, held: boolean", ["i", "label", "text", "held"])
-    table = table.withColumn("grams", grams_of(words_of(F.col("text")))).coalesce(1).cache()
+    telling = lambda gram: F.exists(F.split(gram, " "), lambda w: ~w.isin(EVERYDAY) & w.rlike("[a-z].|.[a-z]"))
+    table = table.withColumn("grams", F.filter(grams_of(words_of(F.col("text"))), telling)).coalesce(1).cache()
 
     def fit(learnt: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=FEATURES, minDF=1.0).fit(learnt)
@@ -179,7 +213,7 @@ def train(spark: SparkSession, rows: list[tuple[str, str]] | None = None, precis
         k = int(np.argmax(p))
         if families[k] != NONE:
             (right if k == int(r.label) else wrong).append(float(p[k]))
-    # Platt's idea without its curve: the cut where the held rows' precision holds.
+    # The least probability from which on the held rows' precision holds.
     cuts = sorted({0.35, *right})
     good = [c for c in cuts if (n := sum(x >= c for x in right)) and n / (n + sum(x >= c for x in wrong)) >= precision]
     return Model(families, *whole, min(good, default=0.5))
@@ -194,8 +228,16 @@ def templates(spark: SparkSession) -> DataFrame:
     return table.select("template", "family", pairs.alias("pairs")).select("template", "family", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
 
 
-def paragraphs(df: DataFrame) -> DataFrame:
-    """id, k, unit, words: the candidate paragraphs of rows with id, k and text.
+def _holds_one_of(text: Column, words: list[str]) -> Column:
+    """Whether a lower-case text has a word that begins like one of the words."""
+    starts: dict[str, list[str]] = {}
+    for word in sorted(words):
+        starts.setdefault(word[0], []).append(word[1:])
+    return text.rlike("(?:^|[^a-z0-9])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in starts.items()) + ")")
+
+
+def paragraphs(df: DataFrame, model: Model) -> DataFrame:
+    """id, k, unit, words: the paragraphs of rows with id, k and text that the model can name a licence (see Model.gate).
 
     A paragraph is a line, and also a run of lines between empty lines if it has several: notices stand on a line of their
     own, licences go over many.
@@ -203,8 +245,18 @@ def paragraphs(df: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     runs = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(F.trim(p), F.lit("\n")))
     # Between empty lines; a text without any is one run.
-    units = F.filter(F.concat(lines, runs), lambda p: p.rlike(ANCHORS))
-    return df.where(F.col("text").rlike(ANCHORS)).select("id", "k", F.posexplode(units).alias("unit", "paragraph")).select("id", "k", "unit", words_of(F.col("paragraph")).alias("words"))
+    units, rows = F.concat(lines, runs), df.select("id", "k", F.lower("text").alias("text"))
+    gate = model.gate()
+    if gate is None:
+        return rows.select("id", "k", F.posexplode(units).alias("unit", "paragraph")).select("id", "k", "unit", words_of(F.col("paragraph")).alias("words"))
+    shares, least = gate
+    if not shares:
+        return rows.where("false").select("id", "k", F.lit(0).alias("unit"), words_of(F.col("text")).alias("words"))
+    found = rows.where(_holds_one_of(F.col("text"), [*shares])).select("id", "k", F.posexplode(F.filter(units, lambda p: _holds_one_of(p, [*shares]))).alias("unit", "paragraph"))
+    worded = found.select("id", "k", "unit", words_of(F.col("paragraph")).alias("words"))
+    known = F.array(*[F.lit(w) for w in shares])
+    share = F.create_map(*[F.lit(x) for item in shares.items() for x in item])
+    return worded.where(F.aggregate(F.array_intersect("words", known), F.lit(0.0), lambda total, w: total + F.element_at(share, w)) >= least)
 
 
 def classify(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None, confirms: float = CONFIRMS) -> DataFrame:
@@ -213,7 +265,7 @@ def classify(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: M
     model = model or train(spark)
     docs = narrow(df, id=doc_id, text=text).withColumn("k", F.xxhash64("id", "text"))
     # Candidates are kept, so the texts are read once. What is exploded carries nothing of the paragraph but its key.
-    units = cut(paragraphs(docs.where("text is not null")).dropDuplicates(["id", "k", "unit"])).withColumn("u", F.monotonically_increasing_id())
+    units = cut(paragraphs(docs.where("text is not null"), model).dropDuplicates(["id", "k", "unit"])).withColumn("u", F.monotonically_increasing_id())
     grams = units.select("u", F.explode(grams_of(F.col("words"))).alias("gram"))
     # The weights and templates are of fixed size; Spark sees that and broadcasts them.
     joined = grams.join(F.broadcast(model.table(spark)), "gram", "left")
@@ -237,7 +289,8 @@ def license_scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mode
 
     family is the confirmed one of highest probability (the first by name of equals), 'unknown' if paragraphs only look
     like a licence, 'none' else; families are all confirmed ones, sorted. Null, empty and licence-free texts give 'none'.
-    Rows alike in id and text have the same result. Texts are read whole.
+    Rows alike in id and text have the same result. Texts, also very long ones, are read whole; an empty table gives no rows, and
+    other columns are not looked at.
     """
     found = classify(df, text, doc_id, model, confirms)
     sure = F.col("confirmed")
