@@ -1,7 +1,9 @@
 """Language-model scoring with Brown's class-based bigrams.
 
-Words are assigned to classes by exchange clustering (Kneser and Ney 1993): word after word moves to the class that raises
-the likelihood of the class bigrams most. The most frequent words move alone, the others together with those that end alike.
+Words are assigned to classes by exchange clustering (Kneser and Ney 1993): words move to the class that raises
+the likelihood of the class bigrams most. The most frequent words move one after the other, and with them groups of the others that
+end alike. Then all words that were seen often enough move at once, each by its own neighbours' classes, which the executors count.
+Rarer and unknown words stay with those that end alike.
 A text's probability is that of its class transitions times that of each word in its class, both smoothed.
 """
 
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import Memo, batch_of, crc_bucket, cut, forget, kept, narrow, packed_by_part, prefix_sums, texts_of
 
-#: Words that are clustered one by one, groups of the others by their ending, classes, sweeps over the words at most.
+#: Words that move one after the other, groups of the others by their ending, classes, sweeps over the words at most.
 CLUSTERED, ENDINGS, CLASSES, SWEEPS = 2_048, 256, 64, 8
-#: Words whose counts are broadcast (16 bytes each), words that a worker remembers, distinct words a task holds back.
+#: Occurrences from which on a word moves by itself; tokens that a task counts neighbours of before it passes the sums on.
+OFTEN, TOKENS = 3, 2_000_000
+#: Words whose counts and classes are broadcast (18 bytes each), words that a worker remembers, distinct words a task holds back.
 COMMON, MEMO_WORDS, HELD = 400_000, 250_000, 250_000
 #: Observations that a class's own transitions are weighed against.
 TRUST = 50.0
@@ -34,9 +38,17 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def ending_of(word: bytes) -> bytes:
+    """The last two letters."""
+    if word.isascii():
+        return word[-2:]
+    starts = [i for i, b in enumerate(word) if b & 0xC0 != 0x80]
+    return word[starts[-2] :] if len(starts) > 1 else word
+
+
 def word_key(word: bytes) -> int:
-    """55 bits of a word's hash, then 8 bits that its last two bytes decide: the group of words with its ending."""
-    return xxhash.xxh3_64_intdigest(word) & 0x7FFF_FFFF_FFFF_FF00 | xxhash.xxh32_intdigest(word[-2:]) % ENDINGS
+    """55 bits of a word's hash, then 8 bits that its last two letters decide: the group of words with its ending."""
+    return xxhash.xxh3_64_intdigest(word) & 0x7FFF_FFFF_FFFF_FF00 | xxhash.xxh32_intdigest(ending_of(word)) % ENDINGS
 
 
 def _dealt(keys: np.ndarray, rest: np.ndarray, parts: int) -> list[bytes]:
@@ -240,32 +252,143 @@ def exchange(square: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     return of
 
 
-class Model:
-    """Classes of units, and the part of each token's log10 probability that doesn't depend on the word's own count.
+def leanings(table: np.ndarray) -> np.ndarray:
+    """How much the likelihood gains for each class (column) by one more neighbour of each class, before and then after (rows).
+
+    The gain of a move is to first order the sum over a word's neighbours, with all other words where they are.
+    """
+    classes = len(table)
+    counted = table + 0.5
+    follows = np.log(counted / counted.sum(axis=1)[:, None])
+    precedes = np.log(counted / counted.sum(axis=0)[None, :])
+    return np.concatenate((precedes, follows.T)).reshape(2 * classes, classes)
+
+
+class Words:
+    """The common words' keys in order, and where a worker finds each word: its place, or its key's complement, which is negative."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.memo = Memo(self.look, MEMO_WORDS)
+        self.end = self.look(END)
+
+    def look(self, word: bytes) -> int:
+        key = word_key(word)
+        place = int(np.searchsorted(self.keys, np.uint64(key)))
+        return place if place < len(self.keys) and int(self.keys[place]) == key else ~key
+
+    def codes(self, text: str) -> list[int]:
+        """The words' codes and that of the end."""
+        memo = self.memo
+        out = [memo[w] for w in tokens_of(text)]
+        out.append(self.end)
+        return out
+
+
+class Classes:
+    """The class of each common word by its place, and of all others by their ending."""
+
+    def __init__(self, common: np.ndarray, endings: np.ndarray):
+        self.common, self.endings = common, endings
+
+    def path(self, codes: np.ndarray) -> np.ndarray:
+        away = codes < 0
+        out = np.empty(len(codes), np.int64)
+        out[~away] = self.common[codes[~away]]
+        out[away] = self.endings[(~codes[away]) & 0xFF]
+        return out
 
-    A word's probability in its class is (count + 1) / (tokens + types + 1 of the class), so unknown words have one share.
+
+def _streams(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[np.ndarray]:
+    """The codes of texts, many at a time; an end is before the first text and after each."""
+    waiting = [words.end]
+    for batch in batches:
+        for value in batch.column(0):
+            waiting += words.codes(value.as_py() or "")
+            if len(waiting) > TOKENS:
+                yield np.array(waiting, dtype=np.int64)
+                waiting = [words.end]
+    if len(waiting) > 1:
+        yield np.array(waiting, dtype=np.int64)
+
+
+def moved(train: DataFrame, words_of, classes: Classes, table: np.ndarray, moves: np.ndarray, parts: int) -> np.ndarray:
+    """The common words' classes after each of those that `moves` marks has gone where its neighbours' classes draw it most.
+
+    Neighbours are counted by word and class on the executors, and each word is decided there; places and classes come here,
+    as many as there are common words at most. Ties go to the lower class.
     """
+    n = len(table)
+    shared = train.sparkSession.sparkContext.broadcast((classes, moves))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, may = shared.value
+        for codes in _streams(batches, words_of()):
+            path = own.path(codes)
+            at = np.flatnonzero(codes[1:-1] >= 0) + 1
+            at = at[may[codes[at]]]
+            place = codes[at] * (2 * n)
+            found, times = np.unique(np.concatenate((place + path[at - 1], place + n + path[at + 1])), return_counts=True)
+            yield batch_of(["part", "packed"], [pa.array(range(parts), pa.int32()), pa.array(packed_by_part(found // (2 * n) % parts, parts, found.astype(np.uint64), times.astype(np.uint64)), pa.binary())])
+
+    leaning = leanings(table)
+
+    def decide(rows: pa.Table) -> pa.Table:
+        codes, sums = _summed(_unpacked(rows.column("packed")))
+        codes = codes.astype(np.int64)
+        places, row = np.unique(codes // (2 * n), return_inverse=True)
+        best = np.zeros(len(places), np.int64)
+        for low in range(0, len(places), 50_000):
+            some = (row >= low) & (row < low + 50_000)
+            seen = np.zeros((min(50_000, len(places) - low), 2 * n))
+            seen[row[some] - low, codes[some] % (2 * n)] = sums[some]
+            best[low : low + 50_000] = (seen @ leaning).argmax(axis=1)
+        return pa.table({"packed": [np.stack((places, best), axis=1).tobytes()]})
+
+    out = classes.common.copy()
+    for r in train.mapInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(decide, "packed binary").collect():
+        places, best = np.frombuffer(r.packed, dtype=np.int64).reshape(-1, 2).T
+        out[places] = best
+    return out
+
+
+def transitions(train: DataFrame, words_of, classes: Classes, n: int) -> np.ndarray:
+    """How often each class follows each, a square of n a side."""
+    shared = train.sparkSession.sparkContext.broadcast(classes)
 
-    def __init__(self, units: Units, of: np.ndarray, square: np.ndarray, types: np.ndarray, tokens: np.ndarray, classes: int):
-        self.units, self.of = units, of.astype(np.int16)
-        member = np.zeros((len(of), classes))
-        member[np.arange(len(of)), of] = 1
-        table = member.T @ square @ member
-        from_, total = table.sum(axis=1), table.sum()
-        alone = (table.sum(axis=0) + 1) / (total + classes)
-        weight = from_ / (from_ + TRUST)
-        transition = weight[:, None] * table / np.maximum(from_, 1)[:, None] + (1 - weight)[:, None] * alone[None, :]
-        share = np.bincount(of, weights=tokens, minlength=classes) + np.bincount(of, weights=types, minlength=classes) + 1
-        self.steps = np.log10(transition) - np.log10(share)[None, :]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, np.int64)
+        for codes in _streams(batches, words_of()):
+            path = shared.value.path(codes)
+            total += np.bincount(path[:-1] * n + path[1:], minlength=n * n)
+        yield batch_of(["n"], [pa.array([total.tolist()], pa.list_(pa.int64()))])
+
+    rows = train.mapInArrow(count, "n array<long>").repartition(16).mapInArrow(_totals, "n array<long>").collect()
+    return np.sum([np.zeros(n * n, np.int64), *(r.n for r in rows)], axis=0, dtype=np.int64).reshape(n, n).astype(float)
+
+
+def steps_of(table: np.ndarray, types: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The part of each token's log10 probability that doesn't depend on the word's own count, by the class before and its own.
+
+    Transitions are weighed against the classes' own shares. A word's probability in its class is (count + 1) / (tokens +
+    types + 1 of the class), so unknown words have one share.
+    """
+    from_, total = table.sum(axis=1), table.sum()
+    alone = (table.sum(axis=0) + 1) / (total + len(table))
+    weight = from_ / (from_ + TRUST)
+    transition = weight[:, None] * table / np.maximum(from_, 1)[:, None] + (1 - weight)[:, None] * alone[None, :]
+    return np.log10(transition) - np.log10(tokens + types + 1)[None, :]
 
 
-def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, classes: int = CLASSES, clustered: int = CLUSTERED, sweeps: int = SWEEPS, common: int = COMMON) -> DataFrame:
+def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, classes: int = CLASSES, clustered: int = CLUSTERED, sweeps: int = SWEEPS, common: int = COMMON, least: int = OFTEN) -> DataFrame:
     """One row for each row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Null is the empty text. Learns from rows whose crc32 of the id isn't `held` modulo `modulus`; every word, count and
     transition of theirs counts. base_score is the add-one unigram log10 probability, score the class model's, perplexity
-    10 ** (-score / n_tokens). With nothing to learn from, all words are unknown and all transitions alike. Repeated rows
-    are scored, and learned from, each for itself.
+    10 ** (-score / n_tokens). Words that occur `least` times or more have a class of their own choice, if they are among the
+    `common` most frequent ones. With nothing to learn from, all words are unknown and all transitions alike. Repeated rows
+    are scored, and learned from, each for itself; texts of any length are read whole; an empty table gives no rows, and other
+    columns are not looked at.
     """
     spark = df.sparkSession
     docs = narrow(df, id=doc_id, text=text).withColumn("held_out", crc_bucket("id", modulus) == held)
@@ -281,34 +404,23 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: in
     units = Units(keys, often, clustered)
     square = bigrams(train, units, parts)
     of = exchange(square, classes, sweeps)
-    # Clustered words leave their endings' groups.
-    unit_types, unit_tokens = np.zeros(units.size), np.zeros(units.size)
-    unit_types[len(units.words) :], unit_tokens[len(units.words) :] = types, tokens
-    known = np.searchsorted(keys, units.words)
-    for i, k in enumerate(units.words):
-        if known[i] < len(keys) and keys[known[i]] == k:
-            ending, c = len(units.words) + int(k & np.uint64(0xFF)), float(often[known[i]])
-            unit_types[[i, ending]] += [1, -1]
-            unit_tokens[[i, ending]] += [c, -c]
-    model = Model(units, of, square, unit_types, unit_tokens, classes)
-    shared, name = spark.sparkContext.broadcast((model, keys, often)), uuid.uuid4().hex  # bounded by `common` and `clustered`
-
-    def opened() -> tuple:
-        own, sorted_keys, their_counts = shared.value
-        first = len(own.units.words)
-        classes_of = own.of[[own.units.at.get(k, first + (k & 0xFF)) for k in sorted_keys.tolist()]].astype(np.int64)
-
-        def look(word: bytes) -> int:
-            """The word's place among the common ones, or its key's complement, which is negative."""
-            key = word_key(word)
-            place = int(np.searchsorted(sorted_keys, np.uint64(key)))
-            return place if place < len(sorted_keys) and int(sorted_keys[place]) == key else ~key
-
-        # Clustered words are all common: a word that isn't has its ending's class.
-        return Memo(look, MEMO_WORDS), own.steps, classes_of, np.log10(their_counts.astype(np.float64) + 1), own.of[first:].astype(np.int64), look(END)
+    first = len(units.words)
+    alone = np.array([units.at.get(k, -1) for k in keys.tolist()], dtype=np.int64)
+    endings = of[first:].astype(np.int64)
+    given = Classes(np.where(alone >= 0, of[alone], endings[(keys & np.uint64(0xFF)).astype(np.int64)]).astype(np.int16), endings)
+    shared, name = spark.sparkContext.broadcast((keys, often)), uuid.uuid4().hex  # bounded by `common`
+    words_of = lambda: kept(f"brown {name}", lambda: Words(shared.value[0]))
+    member = np.zeros((units.size, classes))
+    member[np.arange(units.size), of] = 1
+    given = Classes(moved(train, words_of, given, member.T @ square @ member, (alone < 0) & (often >= least), parts), endings)
+    # What isn't common is known by its ending's sums, less those of the common words with it.
+    ending_of_key = (keys & np.uint64(0xFF)).astype(np.int64)
+    rare_types, rare_tokens = (all_ - np.bincount(ending_of_key, weights=w, minlength=ENDINGS) for all_, w in ((types, np.ones(len(keys))), (tokens, often.astype(float))))
+    class_types, class_tokens = (np.bincount(endings, weights=rare, minlength=classes) + np.bincount(given.common, weights=w, minlength=classes) for rare, w in ((rare_types, np.ones(len(keys))), (rare_tokens, often.astype(float))))
+    ready = spark.sparkContext.broadcast((given, steps_of(transitions(train, words_of, given, classes), class_types, class_tokens), np.log10(often.astype(np.float64) + 1)))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, steps, classes_of, logs_of, ending_class, end = kept(f"brown {name}", opened)
+        words, (own, steps, logs_of) = words_of(), ready.value
         row, wait_keys, wait_rows, waiting = TaskContext.get().partitionId() << 36, [], [], 0
         names = ["row", "id", "held_out", "n_tokens", "n_known", "counted", "steps", "part", "packed"]
 
@@ -326,16 +438,14 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: in
                 batch = whole.slice(start, 256)
                 size, codes, lengths = batch.num_rows, [], []
                 for x in texts_of(batch.column("text")):
-                    words = tokens_of(x)
-                    codes.extend([memo[w] for w in words])
-                    codes.append(end)
-                    lengths.append(len(words) + 1)
+                    found = words.codes(x)
+                    codes += found
+                    lengths.append(len(found))
                 codes, lengths = np.array(codes, dtype=np.int64), np.array(lengths, dtype=np.int64)
                 away = codes < 0
                 keys_away = (~codes[away]).astype(np.uint64)
-                path, logs = np.empty(len(codes), np.int64), np.zeros(len(codes))
-                path[~away], logs[~away] = classes_of[codes[~away]], logs_of[codes[~away]]
-                path[away] = ending_class[(keys_away & np.uint64(0xFF)).astype(np.int64)]
+                path, logs = own.path(codes), np.zeros(len(codes))
+                logs[~away] = logs_of[codes[~away]]
                 # Every text ends with an end, so what precedes a text's first word is one.
                 before = np.concatenate((path[-1:], path[:-1]))
                 starts = prefix_sums(lengths)[:-1]

@@ -408,6 +408,64 @@ def test_class_model(spark):
     assert held and sum(x.score for x in held) > sum(x.base_score for x in held) + 10
 
 
+def test_class_scores_by_plain_counting(spark):
+    """All but exchange() itself, which its own test looks at, counted over again in plain Python."""
+    import numpy as np
+
+    r, classes, clustered, least = random.Random(12), 6, 12, 3
+    word = lambda kind: kind + str(int(r.random() ** 2 * 25)) + r.choice(["ab", "\u00e9b", "\u8a9ea"])
+    rows = [(i, " ".join(word("n") + " " + word("v") + r.choice(["", " the"]) for _ in range(r.randrange(1, 20)))) for i in range(150)]
+    rows += [(900, None), (901, "never seen words"), (902, "The\tN0AB v1ab")]
+    got = {x.doc_id: x for x in brown.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=classes, clustered=clustered, least=least).collect()}
+    texts = {i: [w.encode() for w in re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()] + [brown.END] for i, t in rows}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in train for w in t)
+    order = sorted(count, key=lambda w: (-count[w], brown.word_key(w)))
+    alone = [brown.END, *[w for w in order if w != brown.END][: clustered - 1]]
+    ending = lambda w: len(alone) + (brown.word_key(w) & 0xFF)
+    unit = lambda w: alone.index(w) if w in alone else ending(w)
+    square = np.zeros((len(alone) + brown.ENDINGS,) * 2)
+    for t in train:
+        for a, b in zip([brown.END, *t], t):
+            square[unit(a), unit(b)] += 1
+    of = brown.exchange(square, classes)
+    table = np.zeros((classes, classes))
+    for i, j in zip(*np.nonzero(square)):
+        table[of[i], of[j]] += square[i, j]
+    class_of = {w: int(of[unit(w)]) for w in count}
+    smooth = table + 0.5
+    own = dict(class_of)
+    for w in count:
+        if w not in alone and count[w] >= least:
+            gain = np.zeros(classes)
+            for t in train:
+                for a, b, c in zip([brown.END, *t], t, t[1:]):
+                    if b == w:
+                        gain += np.log(smooth[class_of[a]] / smooth.sum(axis=0)) + np.log(smooth[:, class_of[c]] / smooth.sum(axis=1))
+            best = np.flatnonzero(gain >= gain.max() - 1e-9)
+            own[w] = int(best[0])
+    assert sum(own[w] != class_of[w] for w in count) > 5
+    of_any = lambda w: own[w] if w in own else int(of[ending(w)])
+    table = np.zeros((classes, classes))
+    for t in train:
+        for a, b in zip([brown.END, *t], t):
+            table[own[a], own[b]] += 1
+    size = [sum(count[w] + 1 for w in count if own[w] == k) + 1 for k in range(classes)]
+    for i, t in texts.items():
+        total = 0.0
+        for a, b in zip([brown.END, *t], t):
+            a, k = of_any(a), of_any(b)
+            weight = table[a].sum() / (table[a].sum() + brown.TRUST)
+            follows = weight * table[a, k] / max(1, table[a].sum()) + (1 - weight) * (table[:, k].sum() + 1) / (table.sum() + classes)
+            total += math.log10(follows * (count[b] + 1) / size[k])
+        assert abs(got[i].score - total) < 1e-6, i
+
+
+def test_endings_are_letters():
+    assert brown.ending_of("caf\u00e9s".encode()) == "\u00e9s".encode() and brown.ending_of("\u65e5\u672c\u8a9e".encode()) == "\u672c\u8a9e".encode()
+    assert brown.ending_of(b"cats") == b"ts" and brown.ending_of(b"a") == b"a" and brown.ending_of("\u8a9e".encode()) == "\u8a9e".encode()
+
+
 def test_exchange_raises_likelihood():
     import numpy as np
 
