@@ -15,17 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, crc_bucket, cut, forget, kept, narrow, packed_by_part, prefix_sums, texts_of
+from .common import Memo, batch_of, crc_bucket, cut, forget, in_portions, kept, narrow, packed_by_part, prefix_sums
 
 #: Words that move one after the other, groups of the others by their ending, classes, sweeps over the words at most.
 CLUSTERED, ENDINGS, CLASSES, SWEEPS = 2_048, 256, 64, 8
 #: Occurrences from which on a word moves by itself; tokens that a task counts neighbours of before it passes the sums on.
 OFTEN, TOKENS = 3, 2_000_000
+#: Bytes of text that a task takes apart at a time.
+PORTION = 6_000_000
 #: Words whose counts and classes are broadcast (18 bytes each), words that a worker remembers, distinct words a task holds back.
 COMMON, MEMO_WORDS, HELD = 400_000, 250_000, 250_000
 #: Observations that a class's own transitions are weighed against.
@@ -38,6 +41,31 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def encoded(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Portions of a column of texts: the distinct tokens, where each token of the texts in turn is among them, tokens a text.
+
+    Tokens are those of tokens_of() and then END for each text; null is the empty text.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for start, stop in in_portions(sizes, PORTION):
+        # A fresh array: the kernels aren't sure of slices.
+        whole = pa.array([x or "" for x in texts.slice(start, stop - start).to_pylist()], pa.string())
+        words = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+        flat, offsets = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+        # White space at either end of a text leaves an empty part.
+        full = pc.not_equal(pc.binary_length(flat), 0)
+        before = prefix_sums(full.to_numpy(zero_copy_only=False))
+        lengths = np.diff(before[offsets - offsets[0]])
+        coded = flat.filter(full).dictionary_encode()
+        known = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+        index = np.full(int(lengths.sum()) + len(lengths), len(known) - 1, np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        inside = np.ones(len(index), bool)
+        inside[ends] = False
+        index[inside] = coded.indices.to_numpy()
+        yield known, index, lengths + 1
+
+
 def ending_of(word: bytes) -> bytes:
     """The last two letters."""
     if word.isascii():
@@ -88,9 +116,9 @@ def word_counts(train: DataFrame, parts: int) -> DataFrame:
             return batch_of(["part", "packed"], [pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())])
 
         for batch in batches:
-            for value in batch.column(0):
-                seen.update(tokens_of(value.as_py() or ""))
-                seen[END] += 1
+            for words, index, _ in encoded(batch.column(0)):
+                for word, n in zip(words, np.bincount(index, minlength=len(words)).tolist()):
+                    seen[word] += n
                 if len(seen) > HELD:
                     yield flush()
         if seen:
@@ -160,21 +188,12 @@ def bigrams(train: DataFrame, units: Units, parts: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept(f"units {name}", lambda: Memo(shared.value.unit, MEMO_WORDS))
         square = np.zeros(size * size, dtype=np.uint32)
-        waiting: list[int] = [0]
-
-        def add() -> None:
-            ids = np.array(waiting, dtype=np.int64)
-            codes, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
-            square[codes] += n.astype(np.uint32)
-            waiting[:] = [0]
-
         for batch in batches:
-            for value in batch.column(0):
-                waiting.extend([memo[w] for w in tokens_of(value.as_py() or "")])
-                waiting.append(0)
-                if len(waiting) > 500_000:
-                    add()
-        add()
+            for words, index, _ in encoded(batch.column(0)):
+                # The end of a text is unit 0, and stands before the first as well.
+                ids = np.concatenate(([0], np.array([memo[w] for w in words], dtype=np.int64)[index]))
+                codes, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
+                square[codes] += n.astype(np.uint32)
         codes = np.flatnonzero(square).astype(np.uint64)
         # Keys are spread by their upper bits.
         packed = _dealt(codes << np.uint64(8), square[codes.astype(np.int64)].astype(np.uint64), parts)
@@ -268,21 +287,18 @@ class Words:
     """The common words' keys in order, and where a worker finds each word: its place, or its key's complement, which is negative."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = keys
+        self.places = {k: i for i, k in enumerate(keys.tolist())}
         self.memo = Memo(self.look, MEMO_WORDS)
         self.end = self.look(END)
 
     def look(self, word: bytes) -> int:
         key = word_key(word)
-        place = int(np.searchsorted(self.keys, np.uint64(key)))
-        return place if place < len(self.keys) and int(self.keys[place]) == key else ~key
+        return self.places.get(key, ~key)
 
-    def codes(self, text: str) -> list[int]:
-        """The words' codes and that of the end."""
+    def codes(self, words: list[bytes], index: np.ndarray) -> np.ndarray:
+        """The codes of the tokens that encoded() gave."""
         memo = self.memo
-        out = [memo[w] for w in tokens_of(text)]
-        out.append(self.end)
-        return out
+        return np.array([memo[w] for w in words], dtype=np.int64)[index]
 
 
 class Classes:
@@ -301,15 +317,16 @@ class Classes:
 
 def _streams(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[np.ndarray]:
     """The codes of texts, many at a time; an end is before the first text and after each."""
-    waiting = [words.end]
+    held, size = [np.array([words.end])], 0
     for batch in batches:
-        for value in batch.column(0):
-            waiting += words.codes(value.as_py() or "")
-            if len(waiting) > TOKENS:
-                yield np.array(waiting, dtype=np.int64)
-                waiting = [words.end]
-    if len(waiting) > 1:
-        yield np.array(waiting, dtype=np.int64)
+        for found, index, _ in encoded(batch.column(0)):
+            held.append(words.codes(found, index))
+            size += len(index)
+            if size > TOKENS:
+                yield np.concatenate(held)
+                held, size = [np.array([words.end])], 0
+    if size:
+        yield np.concatenate(held)
 
 
 def moved(train: DataFrame, words_of, classes: Classes, table: np.ndarray, moves: np.ndarray, parts: int) -> np.ndarray:
@@ -434,14 +451,11 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: in
         kind = None
         for whole in batches:
             kind = whole.schema.field("id").type
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                size, codes, lengths = batch.num_rows, [], []
-                for x in texts_of(batch.column("text")):
-                    found = words.codes(x)
-                    codes += found
-                    lengths.append(len(found))
-                codes, lengths = np.array(codes, dtype=np.int64), np.array(lengths, dtype=np.int64)
+            start = 0
+            for found, index, lengths in encoded(whole.column("text")):
+                size, codes = len(lengths), words.codes(found, index)
+                batch = whole.slice(start, size)
+                start += size
                 away = codes < 0
                 keys_away = (~codes[away]).astype(np.uint64)
                 path, logs = own.path(codes), np.zeros(len(codes))

@@ -594,3 +594,21 @@ def test_notices_without_the_usual_words(spark, licence_model):
     docs = spark.createDataFrame([(2, licenses.TEXTS["proprietary"][2]), (3, "Released under BSD-3-Clause."), (4, "Released under Apache-2.0."), (5, "You may use it under MPL 2.0."), (6, "Released under MIT.")], "doc_id long, text string")
     got = {x.doc_id: x.family for x in licenses.license_scan(docs, model=licence_model).collect()}
     assert [got[i] for i in (2, 3, 4, 5, 6)] == ["proprietary", "bsd", "apache", "mpl", "mit"]
+
+
+def test_tokens_are_taken_apart_alike(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(41)
+    texts = ["", " ", None, "a", " a  B\tc\r\n", "\x0b\x0cx\x85y\xa0z w", "ÀÉ İ ſ K", "x" * 50, "\x1cq\x1f"]
+    texts += [r.choice([None, "".join(r.choice("aB é\t\n\x0b\xa0日") for _ in range(r.randrange(12)))]) for _ in range(400)]
+    for portion in (1, 40, 10**6):
+        monkeypatch.setattr(brown, "PORTION", portion)
+        got = []
+        for known, index, lengths in brown.encoded(pa.array(texts, pa.string())):
+            tokens, at = [known[i] for i in index.tolist()], 0
+            for n in lengths.tolist():
+                got.append(tokens[at : at + n])
+                at += n
+            assert at == len(tokens)
+        assert got == [[*brown.tokens_of(t or ""), brown.END] for t in texts]
