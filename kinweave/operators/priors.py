@@ -66,10 +66,12 @@ def spelling_counts(pairs: DataFrame, native: str, latin: str, fold: str = "fold
 def dictionaries(counts: DataFrame, folds: int = fixed.FOLDS, least: int = 2) -> DataFrame:
     """(scope, native, latin): the most frequent spelling, from all folds ('full') and from all but each one.
 
-    Counts of the left-out fold are subtracted from the sums, so nothing is counted twice; a spelling needs `least` in
-    sum, ties go to the first by letter.
+    Counts of the left-out fold are subtracted from the sums, so nothing is counted twice; a native token needs `least` over
+    all its spellings, ties go to the first by letter.
     """
     per_fold = F.array(*[F.struct(F.lit(str(f)).alias("scope"), F.sum(F.when(F.col("fold") != f, F.col("n")).otherwise(0)).alias("n")) for f in range(folds)], F.struct(F.lit("full").alias("scope"), F.sum("n").alias("n")))
     summed = counts.groupBy("native", "latin").agg(per_fold.alias("scopes")).select("native", "latin", F.explode("scopes").alias("s")).select("s.scope", "native", "latin", "s.n")
     best = Window.partitionBy("scope", "native").orderBy(F.desc("n"), "latin")
-    return summed.where(F.col("n") >= least).withColumn("place", F.row_number().over(best)).where("place = 1").select("scope", "native", "latin")
+    support = Window.partitionBy("scope", "native")
+    placed = summed.where("n > 0").withColumns({"place": F.row_number().over(best), "support": F.sum("n").over(support)})
+    return placed.where((F.col("place") == 1) & (F.col("support") >= least)).select("scope", "native", "latin")

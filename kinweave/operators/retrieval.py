@@ -201,12 +201,15 @@ def recall(pairs: DataFrame, owners: DataFrame, ks: tuple[int, ...] = (1, 5, 10)
     return hit.groupBy("country").agg(F.count(F.lit(1)).alias("owned"), F.avg(F.col("hit").cast("double")).alias("union_recall"), *[at(m, k) for m in ("name", "address", "combo") for k in ks])
 
 
-def dense_top_k(queries: DataFrame, refs: DataFrame, block: str, vector: Column | str = "embedding", k: int = fixed.TOP_K) -> DataFrame:
-    """Exact cosine top-k of dense vectors within a block, as column expressions: (block, query_id, ref_id, score, rank)."""
+def dense_top_k(queries: DataFrame, refs: DataFrame, block: str, vector: Column | str = "embedding", k: int = fixed.TOP_K, itself: bool = True) -> DataFrame:
+    """Exact cosine top-k of dense vectors within a block, as column expressions: (block, query_id, ref_id, score, rank).
+
+    Where queries are rows of refs, itself=False leaves the row itself out of its neighbours.
+    """
     v = F.col(vector) if isinstance(vector, str) else vector
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     unit = lambda df, key: df.select(F.col(block).alias("block"), F.col("vec_id").alias(key), F.transform(v, lambda x: x / norm).alias(f"{key}_v"))
     dot = F.aggregate(F.zip_with("query_id_v", "ref_id_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = unit(queries, "query_id").join(unit(refs, "ref_id"), "block").select("block", "query_id", "ref_id", F.round(dot, 9).alias("score"))
+    scored = unit(queries, "query_id").join(unit(refs, "ref_id"), "block").where(F.lit(itself) | (F.col("query_id") != F.col("ref_id"))).select("block", "query_id", "ref_id", F.round(dot, 9).alias("score"))
     order = Window.partitionBy("block", "query_id").orderBy(F.desc("score"), "ref_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

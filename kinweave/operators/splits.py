@@ -11,16 +11,26 @@ from ..functions.similarity import extra_negative, fold, sampled
 TRAIN, TUNE, CHECK, HELD = 0, 1, 2, 3
 
 
-def roles(refs: DataFrame, seed: int, chosen: int, held_fold: int = 0) -> DataFrame:
-    """refs with fold and role: held-out fold 3, half of `chosen` sampled ones 1 (tune), half 2 (check), the others 0.
+def roles(refs: DataFrame, seed: int, chosen: int, held_fold: int = 0, need_all: bool = True) -> DataFrame:
+    """refs with fold and role: of the held-out fold `chosen` a country, half 1 (tune) and half 2 (check), its rest 3; the others 0.
 
-    The sample is those of lowest md5 of seed and id a country: a fixed permutation, of which each half takes every other.
+    So nothing that was fitted on the other folds has seen a reference that decides. The sample is those of lowest md5 of seed
+    and id: a fixed permutation, of which each half takes every other. A country whose held fold has fewer is
+    an error, unless need_all is false: then all of them decide.
     """
     folded = refs.withColumn("fold", fold(F.col("entity_id")))
-    order = Window.partitionBy("country").orderBy("held", "key", "entity_id")
-    ranked = folded.withColumn("held", F.col("fold") == held_fold).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), "entity_id").cast("binary"))).withColumn("place", F.row_number().over(order))
-    role = F.when(F.col("held"), HELD).when(F.col("place") > chosen, TRAIN).when(F.col("place") % 2 == 1, TUNE).otherwise(CHECK)
-    return ranked.withColumn("role", role).drop("held", "key", "place")
+    held = folded.where(F.col("fold") == held_fold).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), "entity_id").cast("binary")))
+    # Only the held fold is put in order; Spark keeps the first of each country early.
+    least = Window.partitionBy("country").orderBy("key", "entity_id")
+    first = held.withColumn("place", F.row_number().over(least)).where(F.col("place") <= chosen).select("country", "entity_id", "place")
+    enough = first.groupBy("country").agg(F.count(F.lit(1)).alias("found"))
+    joined = folded.join(first, ["country", "entity_id"], "left").join(enough, "country", "left")
+    role = F.when(F.col("fold") != held_fold, TRAIN).when(F.col("place").isNull(), HELD).when(F.col("place") % 2 == 1, TUNE).otherwise(CHECK)
+    if not need_all:
+        return joined.withColumn("role", role).drop("place", "found")
+    short = F.coalesce("found", F.lit(0)) < chosen
+    message = F.concat(F.lit(f"fewer than {chosen} references in the held fold of "), "country")
+    return joined.withColumn("role", F.when(short, F.raise_error(message).cast("int")).otherwise(role)).drop("place", "found")
 
 
 def isolation(queries: DataFrame, pairs: DataFrame, refs: DataFrame, seed: int, modulus: int, held_fold: int = 0) -> DataFrame:

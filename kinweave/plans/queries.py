@@ -142,10 +142,10 @@ def fold_assignment(spark, d):
     return C.table(spark, d, "documents").select("doc_id", S.fold(key).cast("bigint").alias("fold"), S.sampled(11, key, 64).alias("sampled"), S.extra_negative(F.col("doc_id"), F.col("doc_id") % 997).alias("extra"))
 
 
-@query(f"""WITH g AS (SELECT doc_id, unnest({C.sql_trigrams("substr(text, 1, 200)")}) AS gram FROM documents)
+@query(f"""WITH g AS (SELECT doc_id, unnest({C.sql_trigrams("text")}) AS gram FROM documents)
 SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY gram""")
 def text_trigrams(spark, d):
-    grams = C.table(spark, d, "documents").select("doc_id", F.explode(T.trigrams(F.substring("text", 1, 200))).alias("gram"))
+    grams = C.table(spark, d, "documents").select("doc_id", F.explode(T.trigrams(F.col("text"))).alias("gram"))
     each = grams.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
@@ -307,7 +307,7 @@ def query_token_stats(spark, d):
 @query("""WITH p AS (SELECT p_partkey % 5 AS fold, [p_type, p_name] AS native, [p_brand, p_type] AS latin FROM part), z AS (SELECT fold, unnest(native) AS native, unnest(latin) AS latin FROM p WHERE len(native) = len(latin)),
 c AS (SELECT fold, native, latin, count(*) AS n FROM z GROUP BY ALL), scopes AS (SELECT CAST(s AS VARCHAR) AS scope FROM range(5) t(s) UNION ALL SELECT 'full'),
 m AS (SELECT s.scope, c.native, c.latin, sum(CASE WHEN CAST(c.fold AS VARCHAR) <> s.scope THEN c.n ELSE 0 END) AS n FROM c, scopes s GROUP BY ALL)
-SELECT scope, native, latin FROM (SELECT *, row_number() OVER (PARTITION BY scope, native ORDER BY n DESC, latin) AS place FROM m WHERE n >= 2) WHERE place = 1""")
+SELECT scope, native, latin FROM (SELECT *, row_number() OVER (PARTITION BY scope, native ORDER BY n DESC, latin) AS place, sum(n) OVER (PARTITION BY scope, native) AS support FROM m WHERE n > 0) WHERE place = 1 AND support >= 2""")
 def dictionary_mode(spark, d):
     pairs = C.table(spark, d, "part").select((F.col("p_partkey") % 5).alias("fold"), F.array("p_type", "p_name").alias("native"), F.array("p_brand", "p_type").alias("latin"))
     return priors.dictionaries(priors.spelling_counts(pairs, "native", "latin"))
@@ -392,11 +392,11 @@ def candidate_oracle(spark, d):
     return joined.groupBy("country").agg(F.count(F.lit(1)).alias("refs"), F.sum("truth").alias("truth"), F.sum("recovered").alias("recovered"), F.round(F.avg(decisions.oracle_f_half(F.col("recovered"), F.col("truth"))), 9).alias("oracle_f_half"))
 
 
-@query(f"""WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.label AS block, q.vec_id AS query_id, r.vec_id AS ref_id, round(list_cosine_similarity(q.v, r.v), 9) AS score FROM u q JOIN u r ON q.label = r.label WHERE q.vec_id % 3 <> 0 AND r.vec_id % 3 = 0)
+@query(f"""WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.label AS block, q.vec_id AS query_id, r.vec_id AS ref_id, round(list_cosine_similarity(q.v, r.v), 9) AS score FROM u q JOIN u r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
 SELECT block, query_id, ref_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY block, query_id ORDER BY score DESC, ref_id) AS rank FROM s) WHERE rank <= {fixed.TOP_K}""")
 def dense_topk(spark, d):
     rows = C.table(spark, d, "embeddings")
-    out = retrieval.dense_top_k(rows.where("vec_id % 3 <> 0"), rows.where("vec_id % 3 = 0"), "label")
+    out = retrieval.dense_top_k(rows.where("vec_id % 20 = 0"), rows, "label", itself=False)
     return _rounded(out.withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
@@ -474,12 +474,12 @@ def _text_pairs(stats: DataFrame, pairs: DataFrame) -> DataFrame:
 # Splits and training
 
 _ROLES_SQL = """folded AS (SELECT country, entity_id, CAST(md5_number(entity_id) % 5 AS INTEGER) AS fold FROM records WHERE source = 1),
-placed AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY fold = 0, md5('17:' || entity_id), entity_id) AS place FROM folded),
-refs AS (SELECT country, entity_id, fold, CASE WHEN fold = 0 THEN 3 WHEN place > 20 THEN 0 WHEN place % 2 = 1 THEN 1 ELSE 2 END AS role FROM placed)"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY country, fold ORDER BY md5('17:' || entity_id), entity_id) AS place FROM folded),
+refs AS (SELECT country, entity_id, fold, CASE WHEN fold <> 0 THEN 0 WHEN place > 20 THEN 3 WHEN place % 2 = 1 THEN 1 ELSE 2 END AS role FROM placed)"""
 
 
 def _roles(spark, d) -> DataFrame:
-    return splits.roles(C.records(spark, d).where("source = 1").select("country", "entity_id"), 17, 20)
+    return splits.roles(C.records(spark, d).where("source = 1").select("country", "entity_id"), 17, 20, need_all=False)
 
 
 @query(f"WITH {C.RECORDS_SQL}, {_ROLES_SQL} SELECT country, entity_id, CAST(fold AS BIGINT) AS fold, CAST(role AS BIGINT) AS role FROM refs")

@@ -64,6 +64,12 @@ def test_dictionaries_leave_folds_out(spark):
     assert got == {("full", "क"): "c", ("0", "क"): "c", ("1", "क"): "k", ("2", "क"): "k", ("3", "क"): "c", ("4", "क"): "c"}
 
 
+def test_a_native_token_needs_support_over_its_spellings(spark):
+    pairs = spark.createDataFrame([(0, ["क"], ["k"]), (1, ["क"], ["c"]), (2, ["ख"], ["kh"])], "fold int, native array<string>, latin array<string>")
+    got = {(r.scope, r.native): r.latin for r in priors.dictionaries(priors.spelling_counts(pairs, "native", "latin")).collect()}
+    assert got == {(s, "क"): "c" for s in ("full", "2", "3", "4")}
+
+
 def records(spark, rows):
     return spark.createDataFrame(rows, "country string, entity_id string, name_core string, address_clean string")
 
@@ -136,6 +142,10 @@ def test_isolation_keeps_sets_apart(spark):
     roles = splits.roles(refs, 1, 10)
     counts = {r.role: r["count"] for r in roles.groupBy("role").count().collect()}
     assert counts[splits.TUNE] == counts[splits.CHECK] == 5
+    assert {r.fold for r in roles.where(roles.role != splits.TRAIN).collect()} == {0} and roles.where("fold = 0 and role = 0").count() == 0
+    with pytest.raises(Exception, match="fewer than 40 references"):
+        splits.roles(refs, 1, 40).collect()
+    assert {r.role for r in splits.roles(refs, 1, 40, need_all=False).where("fold = 0").collect()} == {splits.TUNE, splits.CHECK}
     queries = spark.createDataFrame([("x", f"q{i}", str(i)) for i in range(60)], "country string, entity_id string, owner_id string")
     pairs = spark.createDataFrame([("x", f"q{i}", str((i + 1) % 60)) for i in range(60)], "country string, query_id string, ref_id string")
     out = splits.isolation(queries, pairs, roles, 2, 1)
