@@ -51,3 +51,23 @@ def test_exact_copy_with_a_short_title_leaves(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id: r.text for r in P.dedup_lines(spark, docs, DATA).collect()}
     assert left == {1: rows[0][1], 3: rows[2][1]}
+
+
+ODD = [(1, None, "en"), (2, "", "en"), (3, "12 !?", None), (4, "the cat sat on the mat and looked at the other dog", "en"), (4, "the cat sat on the mat and looked at the other dog", "en"), (5, "the cat sat on the mat and looked at the other dog", "en"), (6, "der Hund und die Katze sind nicht im Haus " * 2000, "de"), (None, "eine Katze ohne Nummer ist auch im Haus", "de")]
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    rows = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = rows.selectExpr("*", "1 AS id", "'k' AS k", "2 AS `row`", "3 AS dropped", "'t' AS t", "4 AS k0", "5 AS lang_pred", "6 AS score")
+    out = stage(spark, rows, DATA)
+    got = sorted((r.doc_id or 0) for r in out.collect())
+    assert got == {"language_id": [0, 4, 4, 5, 6], "line_dedup": [0, 1, 2, 3, 4, 4, 6], "jaccard_join": [0, 1, 2, 3, 4, 4, 6]}.get(name, [0, 1, 2, 3, 4, 4, 5, 6])
+    if name != "bpe":
+        assert out.columns == rows.columns and stage(spark, out.where("false"), DATA).columns == rows.columns
+    assert stage(spark, rows.where("false"), DATA).count() == 0
+
+
+def test_without_labels_every_document_with_a_letter_stays(spark):
+    rows = spark.createDataFrame([(1, "words", None, "s", 5), (2, "12", None, "s", 2), (3, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in P.identify_language(spark, rows, DATA).collect()] == [1]
