@@ -30,7 +30,7 @@ WORDS = re.compile(f"[^{SPACE}]+")
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 #: Words in the lexicon, distinct words and pieces of words remembered by a worker, distinct words a task counts before it passes them on.
-LEXICON_WORDS, MEMO_WORDS, MEMO_PIECES, COUNT_WORDS = 65_536, 700_000, 400_000, 300_000
+LEXICON_WORDS, MEMO_WORDS, MEMO_PIECES, COUNT_WORDS = 65_536, 350_000, 150_000, 200_000
 NEVER = 1 << 62
 
 

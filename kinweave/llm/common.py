@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -87,14 +88,17 @@ _KEPT: dict[str, object] = {}
 def kept(key: str, make: Callable):
     """What make() gives, once for each key in a Python worker, across its tasks. A worker holds one such thing at a time."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def forget() -> None:
-    """Lets go of what an earlier operator's tasks left in this worker."""
-    _KEPT.clear()
+    """Lets go of what an earlier operator's tasks left in this worker, and of its memory."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def in_portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
