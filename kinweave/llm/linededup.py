@@ -195,7 +195,7 @@ def word_keys(lines: list[str], word_chars: int) -> tuple[np.ndarray, np.ndarray
 _WORDS = re.compile("[{0}]|[^ {0}]+".format("".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)))
 
 
-@functools.lru_cache(8192)
+@functools.lru_cache(1024)
 def _words(line: str) -> tuple[list[str], Counter]:
     words = _WORDS.findall(line)
     return words, Counter(words)
@@ -457,10 +457,11 @@ def _verify(edits: int, min_chars: int, word_chars: int):
                 if (a := find(x)) != (b := find(y)) and (y, x) not in apart:
                     if near(lines[x], lines[y], edits, word_chars):
                         root[max(a, b)] = min(a, b)
-                    elif len(apart) < PORTION:
+                    elif len(apart) < 100_000:  # what is found apart once needn't be compared again
                         apart.add((x, y))
         tops = np.array([find(x) for x in range(len(lines))], dtype=np.int64)
         linked = tops != np.arange(len(lines))
+        _words.cache_clear()
         return pa.table({"a": h[linked], "b": h[tops[linked]]})
 
     return run
