@@ -9,7 +9,7 @@ from .common import cut
 
 
 #: Links from which on an id's links are joined where they lie, not brought together; ids with so many links, at most.
-HOT, HOT_IDS = 1_000, 100_000
+HOT, HOT_IDS = 100_000, 100_000
 
 
 def _with_least(rows: DataFrame, least: DataFrame, hot: int | None) -> DataFrame:
