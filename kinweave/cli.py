@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from .plans.linkage import SMOKE, STAGES
-from .plans.stages import Chain, Store, doctor
+from .plans.stages import Chain, Store, doctor, file_identity
 from .session import ship
 
 
@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not args.root or not args.records:
         parser.error("--root and --records are needed")
-    chain = Chain(Store(spark, args.root), STAGES, {"records": spark.read.parquet(args.records)}, {"records": args.records}, SMOKE if args.smoke else {})
+    chain = Chain(Store(spark, args.root), STAGES, {"records": spark.read.parquet(args.records)}, {"records": file_identity(spark, args.records)}, SMOKE if args.smoke else {})
     if args.command == "status":
         for name, print_, done in chain.status():
             print(name, print_, "done" if done else "-")

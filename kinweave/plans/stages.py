@@ -7,11 +7,35 @@ import inspect
 import json
 import platform
 import time
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from importlib.resources import files as package_files
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Subpackages whose modules a stage may run.
+CODE = ("functions", "operators", "plans", "sources")
+
+
+def code_digest(package=None) -> str:
+    """Of every module that a stage may run, by name and content; package: its folder, where it isn't the one imported."""
+    package = package_files(__package__.split(".")[0]) if package is None else package
+    total = hashlib.sha256()
+    for part in CODE:
+        for file in sorted((f for f in (package / part).iterdir() if f.name.endswith(".py")), key=lambda f: f.name):
+            total.update(f"{part}/{file.name}\0".encode() + hashlib.sha256(file.read_bytes()).digest())
+    return total.hexdigest()
+
+
+def file_identity(spark: SparkSession, *paths: str) -> str:
+    """Of the files under some paths: their names, lengths and times of change. Summed on the executors; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    each = F.xxhash64("path", "length", "modificationTime")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.bit_xor(each).alias("x"), F.sum(each.cast("decimal(38,0)")).alias("s")).first()
+    return ":".join(map(str, row))
 
 
 class Store:
@@ -40,14 +64,18 @@ class Store:
         files.delete(path, True)
 
     def write(self, name: str, text: str) -> None:
-        """Replaces a small file: readers see the old or the new one whole."""
+        """Replaces a small file by renaming a new one over it, which is one step where the file system has such a rename (HDFS)."""
         files, path = self._path(name)
-        part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}.part")
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        part = hadoop.Path(f"{self.root}/{name}.{uuid.uuid4().hex}.part")
         out = files.create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
-        files.delete(path, False)
-        files.rename(part, path)
+        how = getattr(hadoop, "Options$Rename")
+        options = gateway.new_array(how, 1)
+        options[0] = how.OVERWRITE
+        whole = [files.makeQualified(p) for p in (part, path)]
+        hadoop.FileContext.getFileContext(whole[1].toUri(), self._conf).rename(*whole, options)
 
     def read(self, name: str) -> str:
         files, path = self._path(name)
@@ -83,6 +111,7 @@ class Chain:
     sources: dict[str, DataFrame]
     identities: dict[str, str]
     settings: dict = field(default_factory=dict)
+    code: str = field(default_factory=code_digest)
 
     def stage(self, name: str) -> Stage:
         for s in self.stages:
@@ -91,11 +120,11 @@ class Chain:
         raise KeyError(f"no stage {name!r}; there are {[s.name for s in self.stages]}")
 
     def fingerprint(self, name: str) -> str:
-        """Of a stage's code, settings and, through theirs, all that it needs."""
+        """Of the package's code, the stage's own, its settings and, through theirs, all that it needs."""
         if name in self.sources:
             return hashlib.sha256(f"{name}:{self.identities[name]}".encode()).hexdigest()[:16]
         s = self.stage(name)
-        parts = [s.name, inspect.getsource(s.make), json.dumps({k: self.settings.get(k) for k in s.settings}, sort_keys=True), *[self.fingerprint(n) for n in s.needs]]
+        parts = [s.name, self.code, inspect.getsource(s.make), json.dumps({k: self.settings.get(k) for k in s.settings}, sort_keys=True), *[self.fingerprint(n) for n in s.needs]]
         return hashlib.sha256("\0".join(parts).encode()).hexdigest()[:16]
 
     def folder(self, name: str) -> str:

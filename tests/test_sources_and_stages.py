@@ -1,7 +1,10 @@
+import shutil
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.plans import linkage
+from kinweave.plans import linkage, stages
 from kinweave.plans.stages import Busy, Chain, Store, doctor
 from kinweave.sources import tables, tsv
 
@@ -57,7 +60,34 @@ def test_chain_runs_resumes_and_locks(chain):
     before = chain.fingerprint("candidates")
     chain.settings = chain.settings | {"top_k": 3}
     assert chain.fingerprint("candidates") != before and chain.done("prepared") and not chain.done("candidates")
-    assert not chain.log("matches/x", "again") or not chain.log("matches/x", "again")
+    assert chain.log("matches/x", "once") and not chain.log("matches/x", "again")
+
+
+def test_stale_code_and_inputs_are_seen(spark, tmp_path):
+    source = Path(stages.__file__).parent.parent
+    copied = tmp_path / "package"
+    shutil.copytree(source, copied, ignore=shutil.ignore_patterns("__pycache__"))
+    before = stages.code_digest(copied)
+    assert before == stages.code_digest()
+    with open(copied / "operators" / "retrieval.py", "a") as out:
+        out.write("# changed\n")
+    assert stages.code_digest(copied) != before
+    table = str(tmp_path / "t")
+    spark.range(10).write.parquet(table)
+    named = stages.file_identity(spark, table)
+    assert named == stages.file_identity(spark, table)
+    chain = Chain(Store(spark, str(tmp_path / "run")), linkage.STAGES, {"records": spark.read.parquet(table)}, {"records": named}, {})
+    changed = Chain(chain.store, chain.stages, chain.sources, chain.identities, {}, code=stages.code_digest(copied))
+    assert chain.fingerprint("prepared") != changed.fingerprint("prepared")
+    spark.range(5).write.mode("append").parquet(table)
+    assert stages.file_identity(spark, table) != named
+
+
+def test_store_replaces_a_file(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("a/b", "one")
+    store.write("a/b", "two")
+    assert store.read("a/b") == "two" and not list((tmp_path / "s" / "a").glob("b.*"))
 
 
 def test_doctor(spark):
