@@ -6,6 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +19,14 @@ SPACES = r"[ \t\r\n\"']"
 def _latin_letters() -> tuple[str, str, dict[str, str]]:
     """Letters whose compatibility decomposition is another single letter, those, and letters that stand for several.
 
-    Made from Python's Unicode tables: Latin letters lose their marks, ligatures and full-width forms become plain.
+    Made from Python's Unicode tables: whatever is of the Latin script loses its marks; ligatures, full-width forms, ordinal
+    signs and Roman numerals become plain.
     """
     one, to, several = [], [], {}
+    latin = regex.compile(r"\p{Script=Latin}")
     for point in range(0x80, sys.maxunicode + 1):
         c = chr(point)
-        if "LATIN" not in unicodedata.name(c, "") or not unicodedata.category(c).startswith("L"):
+        if not latin.match(c):
             continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
         if plain == c or not plain:
@@ -42,14 +45,13 @@ def without_joiners(text: Column) -> Column:
 
 
 def fold_latin(text: Column) -> Column:
-    """Latin letters without accents, ligatures spelt out; marks on other scripts' letters stay."""
+    """Latin letters without accents, ligatures spelt out; marks on other scripts' letters stay. ASCII texts are left at once."""
     one, to, several = _latin_letters()
     folded = F.translate(text, one, to)
-    spelt = folded
-    for c, plain in several.items():
-        spelt = F.replace(spelt, F.lit(c), F.lit(plain))
-    folded = F.when(folded.rlike("[" + "".join(several) + "]"), spelt).otherwise(folded)
-    return F.regexp_replace(folded, r"(\p{IsLatin})\p{M}+", "$1")
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    folded = F.when(text.rlike("[" + "".join(several) + "]"), spelt).otherwise(folded)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"(\p{IsLatin})\p{M}+", "$1")).otherwise(text)
 
 
 def clean_words(text: Column) -> Column:

@@ -16,12 +16,13 @@ KINDS = ("tp", "wrong_owner", "unmatched")
 def winners(scored: DataFrame, score: str = "score") -> DataFrame:
     """One row a query: the reference of the highest score, the lower id of equals, and the runner-up's score (-1 if alone).
 
-    Two values a query are kept by an aggregate that Spark sums before the shuffle, without sorting all pairs of a query.
+    A query names a reference once. One pass: Spark keeps the first two rows of a query before it shuffles them, and the
+    aggregate lies as the window does.
     """
-    best = F.struct((-F.col(score)).alias("s"), F.col("ref_id").alias("ref_id"))
-    first = scored.groupBy("country", "query_id").agg(F.min(best).alias("b"), F.max(score).alias("top"), F.count(F.lit(1)).alias("n"))
-    second = scored.join(first.select("country", "query_id", F.col("b.ref_id").alias("won")), ["country", "query_id"]).where("ref_id <> won").groupBy("country", "query_id").agg(F.max(score).alias("runnerup_score"))
-    return first.join(second, ["country", "query_id"], "left").select("country", "query_id", F.col("b.ref_id").alias("ref_id"), (-F.col("b.s")).alias("score"), F.coalesce("runnerup_score", F.lit(-1.0)).alias("runnerup_score"))
+    order = Window.partitionBy("country", "query_id").orderBy(F.desc(score), "ref_id")
+    two = scored.select("country", "query_id", "ref_id", F.col(score).alias("score"), F.row_number().over(order).alias("place")).where("place <= 2")
+    at = lambda column, place: F.max(F.when(F.col("place") == place, F.col(column)))
+    return two.groupBy("country", "query_id").agg(at("ref_id", 1).alias("ref_id"), at("score", 1).alias("score"), F.coalesce(at("score", 2), F.lit(-1.0)).alias("runnerup_score"))
 
 
 def grid() -> list[float]:

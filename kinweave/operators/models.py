@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from abc import ABC, abstractmethod
 
@@ -86,7 +87,7 @@ def load(spark, path: str, features: list[str]) -> tuple[PipelineModel, dict]:
     found = describe(model, features, wanted["threshold"])
     if found != wanted:
         raise ValueError(f"the model at {path} isn't the one described: {[k for k in wanted if wanted[k] != found[k]]} differ")
-    if wanted["threshold"] is not None and not 0 <= wanted["threshold"] <= 1:
+    if wanted["threshold"] is not None and not 0 <= wanted["threshold"] <= math.nextafter(1.0, 2.0):
         raise ValueError("the threshold is out of range")
     return model, wanted
 

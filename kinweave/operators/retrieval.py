@@ -92,6 +92,10 @@ def _best(table: pa.Table, k: int, name_weight: float) -> pa.Table:
     is_query, ids, field = np.array(table.column("is_query").to_pylist(), bool), np.array(table.column("id").to_pylist(), object), np.array(table.column("field").to_pylist(), object)
     q_ids, r_ids = (np.array(sorted(set(ids[side])), object) for side in (is_query, ~is_query))
     names = ("country", "query_id", "ref_id", "name", "address", "combo", "mode")
+    states = dict(zip(zip(is_query.tolist(), ids.tolist()), table.column("states").to_pylist()))
+    asked, at_home = (np.array([states[side, x] for x in own], np.int64) for side, own in ((True, q_ids), (False, r_ids)))
+    # As state_allows() says, for every pair of the tile.
+    allowed = (asked == 0)[:, None] | (np.bitwise_count(at_home) != 1)[None, :] | (asked[:, None] & at_home[None, :] != 0)
     grams = table.column("grams").combine_chunks()
     ends, values = grams.offsets.to_numpy(), grams.values.to_numpy()
     score = {}
@@ -107,6 +111,7 @@ def _best(table: pa.Table, k: int, name_weight: float) -> pa.Table:
     for mode, own in score.items():
         if not own.size:
             continue
+        own = np.where(allowed, own, 0.0)
         # All that reach the k-th score, then, among equals, those that come first by id.
         least = np.partition(own, -k, axis=1)[:, -k] if own.shape[1] > k else np.zeros(len(own))
         i, j = np.nonzero((own >= least[:, None]) & (own > 0))
@@ -120,24 +125,29 @@ def _best(table: pa.Table, k: int, name_weight: float) -> pa.Table:
     return pa.table({n: pa.array(x, t) for n, x, t in zip(names, out, kinds)})
 
 
-def top_lists(queries: DataFrame, refs: DataFrame, k: int = fixed.TOP_K, name_weight: float = fixed.NAME_WEIGHT, tile: int = 1024) -> DataFrame:
+def top_lists(queries: DataFrame, refs: DataFrame, k: int = fixed.TOP_K, name_weight: float = fixed.NAME_WEIGHT, tile: int = 1024, allowed: Column | None = None, mask: Column | None = None) -> DataFrame:
     """(country, query_id, ref_id, name, address, combo, mode, rank): what top_k() of scores() gives for the three modes.
 
-    Each side of a country is dealt by hash into tiles of about `tile` records; each pair of tiles is a task.
+    allowed (of queries) and mask (of references) are bits of states; what is ranked is then what masked() leaves. Each side of a country is dealt by hash into tiles of about `tile` records; each pair of tiles is a task.
     """
     sizes = refs.groupBy("country").agg(F.count(F.lit(1)).alias("refs"))
     ref_grams = grams(refs, "id")
     df = document_frequency(ref_grams)
     sides = []
-    for is_query, postings, records in ((True, grams(queries, "id"), queries), (False, ref_grams, refs)):
+    for is_query, postings, records, states in ((True, grams(queries, "id"), queries, allowed), (False, ref_grams, refs, mask)):
         tiles = records.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("q_tiles" if is_query else "r_tiles"))
-        sides.append((vectors(weighted(postings, "id", df, sizes).where("df is not null"), "id").withColumn("is_query", F.lit(is_query)), tiles))
+        packed = vectors(weighted(postings, "id", df, sizes).where("df is not null"), "id").withColumn("is_query", F.lit(is_query))
+        if states is None:
+            packed = packed.withColumn("states", F.lit(0).cast("long"))
+        else:
+            packed = packed.join(records.select("country", F.col("entity_id").alias("id"), F.coalesce(states.cast("long"), F.lit(0)).alias("states")), ["country", "id"])
+        sides.append((packed, tiles))
     grid = sides[0][1].join(sides[1][1], "country")
     dealt = None
     for side, (own, other) in zip(sides, (("q_tiles", "r_tiles"), ("r_tiles", "q_tiles"))):
         placed = side[0].join(F.broadcast(grid), "country").withColumn("mine", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         i, j = ("mine", "theirs") if own == "q_tiles" else ("theirs", "mine")
-        part = placed.select("country", "id", "field", "grams", "weights", "is_query", F.col(i).alias("i"), F.col(j).alias("j"))
+        part = placed.select("country", "id", "field", "grams", "weights", "is_query", "states", F.col(i).alias("i"), F.col(j).alias("j"))
         dealt = part if dealt is None else dealt.unionByName(part)
     found = dealt.groupBy("country", "i", "j").applyInArrow(lambda table: _best(table, k, name_weight), "country string, query_id string, ref_id string, name double, address double, combo double, mode string")
     score = F.when(F.col("mode") == "name", F.col("name")).when(F.col("mode") == "address", F.col("address")).otherwise(F.col("combo"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as T
 from ..functions.similarity import fold
-from ..operators import decisions, exports, features, models, priors, records, retrieval
+from ..operators import decisions, exports, features, models, priors, records, retrieval, splits
 from .stages import Stage
 
 
@@ -26,7 +27,20 @@ def prepared(inputs: dict, settings: dict) -> DataFrame:
 def candidate_pairs(inputs: dict, settings: dict) -> DataFrame:
     stats = inputs["prepared"]
     k = settings.get("top_k", fixed.TOP_K)
-    return retrieval.union_lists(retrieval.top_lists(noisy(stats), references(stats), k, settings.get("name_weight", fixed.NAME_WEIGHT)), k)
+    allowed, mask = T.allowed_states(F.col("name_script")), F.col("reference_state_mask")
+    return retrieval.union_lists(retrieval.top_lists(noisy(stats), references(stats), k, settings.get("name_weight", fixed.NAME_WEIGHT), allowed=allowed, mask=mask), k)
+
+
+def reference_roles(inputs: dict, settings: dict) -> DataFrame:
+    """References that teach, tune and check: `chosen` a country decide, all of them from the held fold."""
+    refs = references(inputs["prepared"]).select("country", "entity_id")
+    return splits.roles(refs, settings.get("seed", 23), settings.get("chosen", 2_000), need_all=settings.get("need_all", False))
+
+
+def query_split(inputs: dict, settings: dict) -> DataFrame:
+    """Which queries evaluate and which train: one in `modulus` of those that touch no reference that decides."""
+    queries = noisy(inputs["prepared"]).select("country", "entity_id", "owner_id")
+    return splits.isolation(queries, inputs["candidates"], inputs["roles"], settings.get("seed", 23), settings.get("modulus", 1)).select("country", "entity_id", "eval", "train")
 
 
 def query_side(stats: DataFrame) -> DataFrame:
@@ -65,7 +79,14 @@ def pair_features(inputs: dict, settings: dict) -> DataFrame:
 def scored_pairs(inputs: dict, settings: dict) -> DataFrame:
     rows = inputs["features"]
     names = features.BASE + features.PERTURB
-    teach = rows.where(fold(F.col("query_id")) != 0)
+    # Ids as the ordinals of the sampling rule: small enough that its products stay whole.
+    ordinal = lambda key: F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    split = inputs["split"].withColumnRenamed("entity_id", "query_id")
+    roles = inputs["roles"].select("country", F.col("entity_id").alias("ref_id"), "role")
+    parted = rows.join(split, ["country", "query_id"]).join(roles, ["country", "ref_id"]).withColumns({"query_index": ordinal("query_id"), "ref_index": ordinal("ref_id")})
+    teach = splits.training_pairs(parted)
+    if teach.isEmpty():
+        raise ValueError("no pair may train: all queries touch a reference that decides, so choose fewer of those")
     model = models.train_trees(teach, names, **settings.get("trees", {}))
     return models.score_trees(rows, model, ["country", "query_id", "ref_id", "owner_id", "label"])
 
@@ -76,13 +97,28 @@ def decided(inputs: dict, settings: dict) -> DataFrame:
     return decisions.winners(scored).join(owners, ["country", "query_id"])
 
 
-def matches(inputs: dict, settings: dict) -> DataFrame:
+def threshold_chosen(inputs: dict, settings: dict) -> DataFrame:
+    """(threshold, tune, check): the threshold that is best on the tune references, and what it gives there and on the check ones.
+
+    A query whose winner is one of them has it among its candidates, so it never trained.
+    """
     stats, won = inputs["prepared"], inputs["decided"]
+    refs = inputs["roles"].select("country", F.col("entity_id").alias("ref_id"), "role")
+    owned = noisy(stats).groupBy("country", F.col("owner_id").alias("ref_id")).agg(F.count(F.lit(1)).alias("truth"))
+    truth = refs.join(owned, ["country", "ref_id"], "left").na.fill(0, ["truth"])
+    curve = lambda role: decisions.metric_curve(won, truth.where(F.col("role") == role), decisions.grid())
+    check = curve(splits.CHECK).groupBy("threshold").agg(F.avg("f_half").alias("check"))
+    return decisions.choose_threshold(curve(splits.TUNE)).withColumnRenamed("value", "tune").join(check, "threshold", "left")
+
+
+def matches(inputs: dict, settings: dict) -> DataFrame:
+    stats, won, threshold = inputs["prepared"], inputs["decided"], settings.get("threshold")
     refs = references(stats).select("country", F.col("entity_id").alias("ref_id"))
-    truth = refs.join(noisy(stats).groupBy(F.col("owner_id").alias("ref_id")).agg(F.count(F.lit(1)).alias("truth")), "ref_id", "left").na.fill(0, ["truth"])
-    threshold = settings.get("threshold")
     if threshold is None:
-        threshold = decisions.choose_threshold(decisions.metric_curve(won, truth, decisions.grid())).first().threshold
+        chosen = inputs["threshold"].first()
+        if chosen is None:
+            raise ValueError("no reference of the held fold tunes the threshold: set one")
+        threshold = chosen.threshold
     return exports.matches(refs, decisions.accept(won, threshold))
 
 
@@ -96,10 +132,13 @@ STAGES = [
     Stage("prepared", prepared, ("records",)),
     Stage("candidates", candidate_pairs, ("prepared",), ("name_weight", "top_k")),
     Stage("features", pair_features, ("prepared", "candidates")),
-    Stage("scored", scored_pairs, ("features",), ("trees",)),
+    Stage("roles", reference_roles, ("prepared",), ("seed", "chosen", "need_all")),
+    Stage("split", query_split, ("prepared", "candidates", "roles"), ("seed", "modulus")),
+    Stage("scored", scored_pairs, ("features", "roles", "split"), ("trees",)),
     Stage("decided", decided, ("scored",)),
-    Stage("matches", matches, ("prepared", "decided"), ("threshold",), gate=one_owner),
+    Stage("threshold", threshold_chosen, ("prepared", "roles", "decided")),
+    Stage("matches", matches, ("prepared", "decided", "threshold"), ("threshold",), gate=one_owner),
 ]
 
-#: Settings of a quick trial: few and small trees.
-SMOKE = {"trees": {"maxIter": 3, "maxDepth": 3}}
+#: Settings of a quick trial: few and small trees, short lists, two references a country that decide.
+SMOKE = {"trees": {"maxIter": 3, "maxDepth": 3}, "top_k": 3, "chosen": 2}

@@ -640,8 +640,8 @@ def class_counts(spark, d):
 
 @query()
 def gbt_match(spark, d):
-    stats, pairs = _stats(spark, d), _pairs(spark, d)
-    return linkage.scored_pairs({"features": linkage.pair_features({"prepared": stats, "candidates": pairs}, {})}, {"trees": {"maxIter": 5, "maxDepth": 4}}).select("country", "query_id", "ref_id", "score", "label")
+    inputs = {"prepared": _stats(spark, d), "candidates": _pairs(spark, d), "roles": _roles(spark, d), "split": _isolated(spark, d).select("country", "entity_id", "eval", "train")}
+    return linkage.scored_pairs(inputs | {"features": linkage.pair_features(inputs, {})}, {"trees": {"maxIter": 5, "maxDepth": 4}}).select("country", "query_id", "ref_id", "score", "label")
 
 
 @query()

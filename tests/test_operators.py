@@ -101,6 +101,21 @@ def test_both_paths_agree(spark):
         assert sorted(map(tuple, got.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
 
 
+def test_tiles_rank_what_the_mask_leaves(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [("x", str(i), f"{r.choice('abcd') * 3} {r.choice('abcd') * 4}", f"{r.choice('abc') * 5}") for i in range(90)]
+    refs, queries = records(spark, rows[:40]), records(spark, rows[40:])
+    number = F.col("entity_id").cast("long")
+    allowed = F.when(number % 3 == 0, 0).otherwise(F.pow(F.lit(2), number % 4)).cast("long")
+    mask = F.when(number % 5 == 0, 3).when(number % 7 == 0, 0).otherwise(F.pow(F.lit(2), number % 4)).cast("long")
+    wanted = retrieval.union_modes(retrieval.scores(queries, refs), 4, queries.select(F.col("entity_id").alias("query_id"), allowed.alias("allowed")), refs.select(F.col("entity_id").alias("ref_id"), mask.alias("mask")))
+    columns = ["country", "query_id", "ref_id", "combo_score", "name_rank", "address_rank", "combo_rank"]
+    got = retrieval.union_lists(retrieval.top_lists(queries, refs, 4, tile=16, allowed=allowed, mask=mask), 4)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, wanted.select(*columns).collect()))
+
+
 def test_mask(spark):
     refs = records(spark, [("x", "1", "blue cafe", ""), ("x", "2", "blue cafe", "")])
     queries = records(spark, [("x", "q", "blue cafe", "")])

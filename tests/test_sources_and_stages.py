@@ -1,3 +1,4 @@
+import random
 import shutil
 from pathlib import Path
 
@@ -42,7 +43,12 @@ def test_tables(spark, tmp_path):
 
 @pytest.fixture
 def chain(spark, tmp_path):
-    rows = [(str(i), "US", 1 + i % 3, f"{w} shop {i // 3}", f"{i // 3} main street", str(3 * (i // 3)) if i % 3 else None) for i, w in enumerate(["blue", "blue", "blu"] * 12)]
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = []
+    for i in range(0, 120, 3):
+        name, address = f"{word()} {word()}", f"{i + 10} {word()}"
+        rows += [(str(i), "US", 1, name, address, None), (str(i + 1), "US", 2, name, address, str(i)), (str(i + 2), "US", 3, name[:-1], address, str(i))]
     records = spark.createDataFrame(rows, "entity_id string, country string, source int, raw_name string, raw_address string, owner_id string").cache()
     return Chain(Store(spark, str(tmp_path / "run")), linkage.STAGES, {"records": records}, {"records": "fixture"}, linkage.SMOKE)
 
@@ -56,9 +62,13 @@ def test_chain_runs_resumes_and_locks(chain):
     assert chain.run_all() == [s.name for s in linkage.STAGES]
     assert chain.run_all() == [] and chain.next() is None
     lists = {r.ref_id: r.matches for r in chain.read("matches").collect()}
-    assert len(lists) == 12 and sum(len(m.split(",")) for m in lists.values() if m) > 0
+    assert len(lists) == 40 and sum(len(m.split(",")) for m in lists.values() if m) > 0
+    chosen = chain.read("threshold").first()
+    assert 0 <= chosen.tune <= 1 and 0 <= chosen.check <= 1
+    roles, split = chain.read("roles"), chain.read("split")
+    assert {r.fold for r in roles.where("role in (1, 2)").collect()} == {0} and split.where("eval and train").count() == 0 and split.where("train").count() > 0
     before = chain.fingerprint("candidates")
-    chain.settings = chain.settings | {"top_k": 3}
+    chain.settings = chain.settings | {"top_k": 2}
     assert chain.fingerprint("candidates") != before and chain.done("prepared") and not chain.done("candidates")
     assert chain.log("matches/x", "once") and not chain.log("matches/x", "again")
 
