@@ -78,16 +78,23 @@ def pair_features(inputs: dict, settings: dict) -> DataFrame:
 
 def scored_pairs(inputs: dict, settings: dict) -> DataFrame:
     rows = inputs["features"]
-    names = features.BASE + features.PERTURB
     # Ids as the ordinals of the sampling rule: small enough that its products stay whole.
     ordinal = lambda key: F.pmod(F.xxhash64(key), F.lit(1 << 31))
     split = inputs["split"].withColumnRenamed("entity_id", "query_id")
     roles = inputs["roles"].select("country", F.col("entity_id").alias("ref_id"), "role")
     parted = rows.join(split, ["country", "query_id"]).join(roles, ["country", "ref_id"]).withColumns({"query_index": ordinal("query_id"), "ref_index": ordinal("ref_id")})
     teach = splits.training_pairs(parted)
-    if teach.isEmpty():
-        raise ValueError("no pair may train: all queries touch a reference that decides, so choose fewer of those")
-    model = models.train_trees(teach, names, **settings.get("trees", {}))
+    try:
+        return fit_and_score(rows, teach, settings)
+    except Exception as e:
+        if teach.isEmpty():
+            raise ValueError("no pair may train: all queries touch a reference that decides, so choose fewer of those") from e
+        raise
+
+
+def fit_and_score(rows: DataFrame, teach: DataFrame, settings: dict) -> DataFrame:
+    """All pairs with the score of trees fitted on those that teach."""
+    model = models.train_trees(teach, features.BASE + features.PERTURB, **settings.get("trees", {}))
     return models.score_trees(rows, model, ["country", "query_id", "ref_id", "owner_id", "label"])
 
 

@@ -640,8 +640,9 @@ def class_counts(spark, d):
 
 @query()
 def gbt_match(spark, d):
-    inputs = {"prepared": _stats(spark, d), "candidates": _pairs(spark, d), "roles": _roles(spark, d), "split": _isolated(spark, d).select("country", "entity_id", "eval", "train")}
-    return linkage.scored_pairs(inputs | {"features": linkage.pair_features(inputs, {})}, {"trees": {"maxIter": 5, "maxDepth": 4}}).select("country", "query_id", "ref_id", "score", "label")
+    rows = linkage.pair_features({"prepared": _stats(spark, d), "candidates": _pairs(spark, d)}, {})
+    scored = linkage.fit_and_score(rows, rows.where(S.fold(F.col("query_id")) != 0), {"trees": {"maxIter": 5, "maxDepth": 4}})
+    return scored.select("country", "query_id", "ref_id", "score", "label")
 
 
 @query()
