@@ -1,5 +1,6 @@
 """Operators against plain Python on small corpora."""
 
+import os
 import hashlib
 import math
 import random
@@ -612,3 +613,21 @@ def test_tokens_are_taken_apart_alike(monkeypatch):
                 at += n
             assert at == len(tokens)
         assert got == [[*brown.tokens_of(t or ""), brown.END] for t in texts]
+
+
+def test_line_dedup_leaves_no_shuffles_and_few_checkpoints(spark):
+    def left(df):
+        found = []
+        for d, _, names in os.walk(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")):
+            found += [os.path.getsize(os.path.join(d, x)) for x in names if x.startswith("part-")]
+        shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found), sum(shuffles.apply(i).length() for i in range(shuffles.size()) if shuffles.apply(i).getName().startswith("shuffle_"))
+
+    rows = [(i, "\n".join(hashlib.sha256(f"{i % 50} {j}".encode()).hexdigest() for j in range(20))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = left(df)
+    out = linededup.repeated(df)
+    after = left(df)
+    assert [x.n_dropped for x in out.orderBy("doc_id").collect()] == [0] * 50 + [20] * 450
+    # Neither keys nor lines stay until the driver collects its garbage; what is returned is stored once.
+    assert after[1] - before[1] < 50_000 and after[0] - before[0] < 500_000, (before, after)
