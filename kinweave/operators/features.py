@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions import similarity as S
 
 MODES = ("name", "address", "combo")
+KEYS = ("country", "query_id", "ref_id")
 
 BASE = [
     *[f"{m}_cosine" for m in MODES], *[f"{m}_rank" for m in MODES], *[f"{m}_{x}" for m in MODES for x in ("best", "second", "to_best", "top_margin")],
@@ -26,12 +27,30 @@ PERTURB = [
 ]
 
 
+#: What ends each element of a list that travels as one text; no token or number holds it.
+END = "\x1f"
+
+
+def _listed(kind: str, x: str) -> Column:
+    """A list of texts as one text, or any other value as it is: a fifth of the bytes of a list of short tokens."""
+    return F.array_join(F.transform(x, lambda e: F.concat(e, F.lit(END))), "") if kind == "array<string>" else F.col(x)
+
+
+def _unlisted(x: str) -> Column:
+    parts = F.split(x, END)
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
 def sides(pairs: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """Candidate pairs with both records' columns, as q_* and r_*; records are joined by key, pairs are never renumbered."""
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    """Candidate pairs with both records' columns, as q_* and r_*; records are joined by key, pairs are never renumbered.
+
+    Lists of the query's side, which is shuffled once a pair, travel as texts.
+    """
+    q = queries.select(*[_listed(kind, c).alias(f"q_{c}") for c, kind in queries.dtypes])
     r = refs.select(*[F.col(c).alias(f"r_{c}") for c in refs.columns])
     joined = pairs.join(q, (F.col("query_id") == F.col("q_entity_id")) & (F.col("country") == F.col("q_country")))
-    return joined.join(r, (F.col("ref_id") == F.col("r_entity_id")) & (F.col("country") == F.col("r_country")))
+    joined = joined.join(r, (F.col("ref_id") == F.col("r_entity_id")) & (F.col("country") == F.col("r_country")))
+    return joined.withColumns({f"q_{c}": _unlisted(f"q_{c}") for c, kind in queries.dtypes if kind == "array<string>"})
 
 
 def _flag(condition: Column) -> Column:
@@ -75,28 +94,35 @@ def _first_difference(a: Column, b: Column) -> Column:
 
 def base_features(rows: DataFrame) -> DataFrame:
     """(country, query_id, ref_id) and the 61 features, in their order."""
-    return rows.select("country", "query_id", "ref_id", *[x.cast("double").alias(name) for name, x in base_columns().items()])
+    return rows.select(*KEYS, *[x.cast("double").alias(name) for name, x in base_columns().items()])
 
 
-def least_frequency(pairs: DataFrame, column: str, vocabulary: DataFrame, name: str) -> DataFrame:
-    """(country, query_id, ref_id, name): log1p of the least reference frequency among a list's tokens; pairs with none are left out."""
-    each = pairs.select("country", "query_id", "ref_id", F.explode(column).alias("token"))
-    found = each.join(vocabulary, ["country", "token"], "left")
-    return found.groupBy("country", "query_id", "ref_id").agg(F.log1p(F.min(F.coalesce("freq", F.lit(0))).cast("double")).alias(name))
+def with_frequencies(records: DataFrame, vocabulary: DataFrame, tokens: str = "tok", keys: tuple[str, str] = ("country", "entity_id")) -> DataFrame:
+    """Records with tok_freq, how many references have each of their tokens: looked up once a record, not once a pair."""
+    each = records.select(*keys, F.explode(F.array_distinct(tokens)).alias("token"))
+    found = each.join(vocabulary.select(F.col("country").alias(keys[0]), "token", "freq"), [keys[0], "token"], "left")
+    listed = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("token", F.coalesce("freq", F.lit(0)).alias("freq")))).alias("tok_freq"))
+    return records.join(listed, list(keys), "left")
 
 
-def perturb_features(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(country, query_id, ref_id) and the 31 features, in their order.
+def _least(only: str, known: str) -> Column:
+    """log1p of the least frequency among a list's tokens, -1 without any."""
+    return F.coalesce(F.log1p(F.array_min(F.transform(only, lambda t: F.try_element_at(F.col(known), t))).cast("double")), F.lit(-1.0))
+
+
+def _with_perturbed(rows: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows and, of their columns, the 31 features.
 
     rows come from sides() with the queries' q_tw_*, q_wp_*, q_vocab_min and the references' r_r_name_mult, r_r_claims;
-    vocabulary is (country, token, freq).
+    vocabulary is (country, token, freq). Where the records have no tok_freq (see with_frequencies()), it is looked up here.
     """
     c = F.col
+    for side in ("q", "r"):
+        if f"{side}_tok_freq" not in rows.columns:
+            keys = (f"{side}_country", f"{side}_entity_id")
+            known = with_frequencies(rows.select(*keys, f"{side}_tok").distinct(), vocabulary, f"{side}_tok", keys)
+            rows = rows.join(known.select(*keys, F.col("tok_freq").alias(f"{side}_tok_freq")), list(keys), "left")
     rows = rows.withColumns({"q_only": F.array_sort(F.array_except("q_tok", "r_tok")), "r_only": F.array_sort(F.array_except("r_tok", "q_tok")), "shared": F.size(F.array_intersect("q_tok", "r_tok"))})
-    keys = ["country", "query_id", "ref_id"]
-    lows = [least_frequency(rows, side, vocabulary, f"nr_{side}_vocab_min") for side in ("q_only", "r_only")]
-    for low in lows:
-        rows = rows.join(low, keys, "left")
     ql, rl, qo, ro = F.size("q_tok"), F.size("r_tok"), F.size("q_only"), F.size("r_only")
     relation = F.when((ql == 0) | (rl == 0), 6).when((qo == 0) & (ro == 0), 0).when(qo == 0, 1).when(ro == 0, 2).when(c("shared") == 0, 4).when((qo == 1) & (ro == 1), 3).otherwise(5)
     acronym = lambda x, y, n: (F.length(c(f"{x}_compact")) >= 2) & (c(f"{x}_compact") == c(f"{y}_initials")) & (n >= 2)
@@ -108,7 +134,7 @@ def perturb_features(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "nr_shared": c("shared"), "nr_q_only": qo, "nr_r_only": ro, "nr_rel": relation,
         "nr_swap_ratio": F.when((qo == 0) | (ro == 0), 0.0).otherwise(S.indel_ratio(F.array_join("q_only", " "), F.array_join("r_only", " "))),
         "nr_q_only_filler": F.size(F.filter("q_only", lambda w: w.isin(fixed.FILLER_WORDS))),
-        "nr_q_only_vocab_min": F.coalesce("nr_q_only_vocab_min", F.lit(-1.0)), "nr_r_only_vocab_min": F.coalesce("nr_r_only_vocab_min", F.lit(-1.0)), "q_vocab_min": c("q_vocab_min"),
+        "nr_q_only_vocab_min": _least("q_only", "q_tok_freq"), "nr_r_only_vocab_min": _least("r_only", "r_tok_freq"), "q_vocab_min": c("q_vocab_min"),
         "nr_acronym": _flag(acronym("q", "r", rl) | acronym("r", "q", ql)), "nr_compact_prefix": _flag((c("q_compact") != c("r_compact")) & (prefix("q", "r") | prefix("r", "q"))),
         "nr_alias": _flag((ql == 1) & (c("q_vocab_min") <= 0)), "wp_min": c("q_wp_min"), "wp_mean": c("q_wp_mean"), "wp_low": c("q_wp_low"),
         "hn_equal": F.when(qh.isNull() | rh.isNull(), -1.0).otherwise((qh == rh).cast("double")), "hn_sub1": _flag((F.length(qh) == F.length(rh)) & (F.levenshtein(qh, rh) == 1)), "hn_absdiff_log": S.log_difference(qh, rh),
@@ -116,7 +142,19 @@ def perturb_features(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "num_q_extra": F.size(F.array_except("q_numset", "r_numset")), "num_r_missing": F.size(F.array_except("r_numset", "q_numset")),
         "tw_full": c("q_tw_full"), "tw_num": c("q_tw_num"), "tw_name": c("q_tw_name"), "tw_addr": c("q_tw_addr"), "r_name_mult": c("r_r_name_mult"), "r_claims": F.coalesce("r_r_claims", F.lit(0)), "q_addr_empty": _flag(c("q_addr_empty")),
     }
-    return rows.select(*keys, *[out[name].cast("double").alias(name) for name in PERTURB])
+    return rows, {name: out[name] for name in PERTURB}
+
+
+def perturb_features(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(country, query_id, ref_id) and the 31 features, in their order, of rows as _with_perturbed() takes them."""
+    rows, columns = _with_perturbed(rows, vocabulary)
+    return rows.select(*KEYS, *[x.cast("double").alias(name) for name, x in columns.items()])
+
+
+def all_features(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(country, query_id, ref_id), the 61 and the 31 features: columns of one row, so no pair meets itself in a join."""
+    rows, columns = _with_perturbed(rows, vocabulary)
+    return rows.select(*KEYS, *[x.cast("double").alias(name) for name, x in (base_columns() | columns).items()])
 
 
 def non_finite(features: DataFrame, names: list[str]) -> DataFrame:

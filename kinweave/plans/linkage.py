@@ -51,12 +51,13 @@ def query_side(stats: DataFrame) -> DataFrame:
     # Priors never see records of the held fold.
     teach = queries.where(F.coalesce(fold(F.col("owner_id")), F.lit(-1)) != 0)
     seen = priors.query_token_stats(queries, priors.token_priors(teach, owned), priors.base_rates(teach, owned), vocab)
-    return queries.join(seen, ["country", "entity_id"])
+    return features.with_frequencies(queries, vocab).join(seen, ["country", "entity_id"])
 
 
 def reference_side(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     claimed = retrieval.claims(pairs).withColumnRenamed("ref_id", "entity_id")
-    return records.name_multiplicity(references(stats)).join(claimed, ["country", "entity_id"], "left").withColumn("r_claims", F.coalesce("r_claims", F.lit(0)))
+    refs = features.with_frequencies(records.name_multiplicity(references(stats)), priors.vocabulary(references(stats)))
+    return refs.join(claimed, ["country", "entity_id"], "left").withColumn("r_claims", F.coalesce("r_claims", F.lit(0)))
 
 
 def pair_rows(stats: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,11 +70,10 @@ def pair_rows(stats: DataFrame, pairs: DataFrame) -> DataFrame:
 def pair_features(inputs: dict, settings: dict) -> DataFrame:
     stats, pairs = inputs["prepared"], inputs["candidates"]
     rows = pair_rows(stats, pairs)
-    keys = ["country", "query_id", "ref_id"]
-    base = features.base_features(rows)
-    perturbed = features.perturb_features(rows, priors.vocabulary(references(stats)))
+    # Both kinds are columns of one row: no pair is joined with itself.
+    both = features.all_features(rows, priors.vocabulary(references(stats)))
     owners = noisy(stats).select("country", F.col("entity_id").alias("query_id"), "owner_id")
-    return base.join(perturbed, keys).join(owners, ["country", "query_id"]).withColumn("label", F.coalesce(F.col("owner_id") == F.col("ref_id"), F.lit(False)))
+    return both.join(owners, ["country", "query_id"]).withColumn("label", F.coalesce(F.col("owner_id") == F.col("ref_id"), F.lit(False)))
 
 
 def scored_pairs(inputs: dict, settings: dict) -> DataFrame:

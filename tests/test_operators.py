@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,31 @@ def test_name_relation(spark, q, r, wanted):
     assert features.non_finite(out, features.PERTURB).count() == 0 and len(features.PERTURB) == 31 and len(features.BASE) == 61
 
 
+def test_pairs_are_looked_up_by_record_and_joined_twice(spark):
+    from kinweave.operators import records as R
+
+    given = [("q1", "x", 2, "a b zz", "Apt 0, 12 Rue 5b", None), ("q2", "x", 3, "", "", None), ("r1", "x", 1, "a c", "12 Rue 5b", None), ("r2", "x", 1, "a d d", "Unit 000", None)]
+    stats = R.record_stats(R.prepare(spark.createDataFrame(given, "entity_id string, country string, source int, raw_name string, raw_address string, owner_id string")))
+    zero = {c: F.lit(0.0) for c in ("tw_full", "tw_num", "tw_name", "tw_addr", "wp_min", "wp_mean", "wp_low", "vocab_min", "r_name_mult", "r_claims")}
+    stats = stats.withColumns(zero)
+    pairs = spark.createDataFrame([("x", q, r) for q in ("q1", "q2") for r in ("r1", "r2")], "country string, query_id string, ref_id string")
+    vocab = spark.createDataFrame([("x", "a", 2), ("x", "b", 5), ("x", "c", 1), ("x", "d", 3), ("y", "zz", 9)], "country string, token string, freq long")
+    q, r = stats.where("source <> 1"), stats.where("source = 1")
+    plain = features.perturb_features(features.sides(pairs, q, r), vocab)
+    ready = features.perturb_features(features.sides(pairs, features.with_frequencies(q, vocab), features.with_frequencies(r, vocab)), vocab)
+    rows = {(x.query_id, x.ref_id): x for x in ready.collect()}
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, rows.values())) and len(rows) == 4
+    assert rows["q1", "r1"].nr_q_only_vocab_min == 0 and math.isclose(rows["q1", "r1"].nr_r_only_vocab_min, math.log1p(1)) and math.isclose(rows["q1", "r2"].nr_r_only_vocab_min, math.log1p(3))
+    assert rows["q2", "r1"].nr_q_only_vocab_min == -1 and rows["q2", "r1"].nr_rel == 6
+    # Lists come out as they went in, empty ones and empty texts among them.
+    kept = {x.q_entity_id: x for x in features.sides(pairs.where("ref_id = 'r1'"), q, r).collect()}
+    for x in q.collect():
+        assert all(kept[x.entity_id][f"q_{c}"] == x[c] for c, kind in q.dtypes if kind == "array<string>")
+    # Wide rows meet no table of pairs: the only exchanges of pairs are those of the two joins.
+    lists = features.sides(pairs, features.with_frequencies(q, vocab).checkpoint(), features.with_frequencies(r, vocab).checkpoint())
+    assert features.perturb_features(lists.hint("merge"), vocab)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
 def test_exports_and_constraints(spark):
     refs = spark.createDataFrame([("1",), ("2",)], "ref_id string")
     pairs = spark.createDataFrame([("b", "1"), ("a", "1"), ("c", "1")], "query_id string, ref_id string")
