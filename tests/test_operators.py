@@ -133,6 +133,16 @@ def test_tiles_that_meet_are_not_shuffled(spark):
     assert "CartesianProduct" in plan and "Generate" not in plan
 
 
+def test_only_tiles_stay_stored(spark):
+    from pathlib import Path
+
+    stored = lambda: len(list(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("*/rdd-*")))
+    refs, queries = records(spark, [("x", "1", "blue cafe", "")]), records(spark, [("x", "q", "blue cafe", "")])
+    before = stored()
+    lists = retrieval.top_lists(queries, refs)
+    assert stored() == before + 1 and lists.count() == 2
+
+
 def test_mask(spark):
     refs = records(spark, [("x", "1", "blue cafe", ""), ("x", "2", "blue cafe", "")])
     queries = records(spark, [("x", "q", "blue cafe", "")])
