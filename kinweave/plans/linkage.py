@@ -24,11 +24,15 @@ def prepared(inputs: dict, settings: dict) -> DataFrame:
     return records.record_stats(records.prepare(inputs["records"]))
 
 
+def best_lists(stats: DataFrame, k: int = fixed.TOP_K, name_weight: float = fixed.NAME_WEIGHT, **how) -> DataFrame:
+    """The modes' lists of all noisy records, of references that their states allow."""
+    allowed, mask = T.allowed_states(F.col("name_script")), F.col("reference_state_mask")
+    return retrieval.top_lists(noisy(stats), references(stats), k, name_weight, allowed=allowed, mask=mask, **how)
+
+
 def candidate_pairs(inputs: dict, settings: dict) -> DataFrame:
-    stats = inputs["prepared"]
     k = settings.get("top_k", fixed.TOP_K)
-    allowed, mask = T.allowed_states(F.col("name_script")), F.col("reference_state_mask")
-    return retrieval.union_lists(retrieval.top_lists(noisy(stats), references(stats), k, settings.get("name_weight", fixed.NAME_WEIGHT), allowed=allowed, mask=mask), k)
+    return retrieval.union_lists(best_lists(inputs["prepared"], k, settings.get("name_weight", fixed.NAME_WEIGHT)), k)
 
 
 def reference_roles(inputs: dict, settings: dict) -> DataFrame:

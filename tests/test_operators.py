@@ -133,6 +133,19 @@ def test_tiles_that_meet_are_not_shuffled(spark):
     assert "CartesianProduct" in plan and "Generate" not in plan
 
 
+def test_one_list_alone_is_what_it_is_among_all(spark):
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 5)))
+    rows = [(r.choice("xy"), str(i), " ".join(word() for _ in range(r.randrange(4))), " ".join(word() for _ in range(r.randrange(5)))) for i in range(120)]
+    refs, queries = records(spark, rows[:50]), records(spark, rows[50:])
+    for most_refs in (200_000, 12):
+        every = retrieval.top_lists(queries, refs, 4, tile=7, most_refs=most_refs).where("mode = 'combo' and rank <= 2")
+        alone = retrieval.top_lists(queries, refs, 2, tile=7, most_refs=most_refs, modes=("combo",), by_query=False)
+        assert sorted(map(tuple, alone.select(*every.columns).collect())) == sorted(map(tuple, every.collect())) and alone.count() > 80
+
+
 def test_only_tiles_stay_stored(spark):
     from pathlib import Path
 
