@@ -39,7 +39,8 @@ def isolation(queries: DataFrame, pairs: DataFrame, refs: DataFrame, seed: int,
     It trains if it isn't, its owner isn't in the held fold, and it is in the sample of one in `modulus`: so no reference
     that decides is ever seen in training.
     """
-    selected = refs.where(F.col("role").isin(TUNE, CHECK)).select("country", F.col("entity_id").alias("ref_id"))
+    # roles() bounds them by country, so they go to the pairs.
+    selected = F.broadcast(refs.where(F.col("role").isin(TUNE, CHECK)).select("country", F.col("entity_id").alias("ref_id")))
     touched = pairs.join(selected, ["country", "ref_id"], "left_semi").select("country", F.col("query_id").alias("entity_id"))
     owned = queries.join(selected.withColumnRenamed("ref_id", "owner_id"), ["country", "owner_id"], "left_semi").select("country", "entity_id")
     marked = touched.unionByName(owned).distinct().withColumn("eval", F.lit(True))
