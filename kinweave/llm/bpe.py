@@ -12,7 +12,9 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import transducer
-from .common import Memo, arrow_map, batch_of, cut, forget, kept, narrow, texts_of
+from .common import Memo, arrow_map, batch_of, cut, forget, in_portions, kept, narrow, texts_of
 
 # Fixed values of the tokenizer's format: the white space that its normaliser folds, and the pieces it splits text into.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,6 +34,8 @@ SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words in the lexicon, distinct words and pieces of words remembered by a worker, distinct words a task counts before it passes them on.
 LEXICON_WORDS, MEMO_WORDS, MEMO_PIECES, COUNT_WORDS = 65_536, 350_000, 150_000, 200_000
 NEVER = 1 << 62
+#: Longer pieces are merged one by one; characters of the texts, and pieces of one length, that are handled at a time.
+SHORT, PORTION, ROWS = 48, 1 << 21, 8_192
 
 
 def byte_letters() -> list[str]:
@@ -67,7 +71,7 @@ class Merges:
     def encode(self, piece: bytes) -> list[int]:
         """Merges the lowest rank first, among equals the leftmost; n log n for long pieces."""
         ids = [self.first[b] for b in piece[:-1]] + [self.end[piece[-1]]]
-        if len(ids) > 48:
+        if len(ids) > SHORT:
             return self._encode_long(ids)
         get = self.pairs.get
         ranks = [get(pair, NEVER) for pair in zip(ids, ids[1:])]
@@ -81,6 +85,56 @@ class Merges:
                 ranks[i] = get((ids[i], ids[i + 1]), NEVER)
         return ids
 
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece, as encode() gives them: those of one length merge side by side, one merge a round."""
+        out = [b""] * len(pieces)
+        same: dict[int, list[int]] = {}
+        for n, piece in enumerate(pieces):
+            same.setdefault(len(piece), []).append(n)
+        for length, numbers in same.items():
+            if not 0 < length <= SHORT:
+                for n in numbers:
+                    out[n] = pack_ids(self.encode(pieces[n])) if length else b""
+                continue
+            for start in range(0, len(numbers), ROWS):
+                self._encode_rows(pieces, numbers[start : start + ROWS], length, out)
+        return out
+
+    def _encode_rows(self, pieces: list[bytes], numbers: list[int], length: int, out: list[bytes]) -> None:
+        if not hasattr(self, "_table"):
+            keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
+            order = np.argsort(keys)
+            self._table = keys[order], np.array([*self.pairs.values()], np.int64)[order], np.array(self.first, np.int64), np.array(self.end, np.int64)
+        keys, values, first, end = self._table
+
+        def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, values[at], NEVER)
+
+        letters = np.frombuffer(b"".join([pieces[n] for n in numbers]), np.uint8).reshape(-1, length)
+        row, ids = np.array(numbers), first[letters]
+        ids[:, -1] = end[letters[:, -1]]
+        ranks = look(ids[:, :-1], ids[:, 1:]) if len(keys) else np.full((len(ids), length - 1), NEVER)
+        while len(row):
+            each = np.arange(len(row))
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(row), np.int64)
+            best = ranks[each, at] if ranks.shape[1] else np.full(len(row), NEVER)
+            if (over := best == NEVER).any():
+                done, width = ids[over].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for k, n in enumerate(row[over].tolist()):
+                    out[n] = done[k * width : (k + 1) * width]
+                some = ~over
+                row, ids, ranks, at, best, each = row[some], ids[some], ranks[some], at[some], best[some], each[: np.count_nonzero(some)]
+                if not len(row):
+                    return
+            places = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, places + (places > at[:, None]), axis=1)
+            ids[each, at] = best & 0xFFFFFFFF
+            ranks = np.take_along_axis(ranks, places[:-1] + (places[:-1] >= at[:, None]), axis=1)
+            for some, left in ((np.flatnonzero(at > 0), at - 1), (np.flatnonzero(at < ids.shape[1] - 1), at)):
+                ranks[some, left[some]] = look(ids[some, left[some]], ids[some, left[some] + 1])
+
     def _encode_long(self, ids: list[int]) -> list[int]:
         n, pairs = len(ids), self.pairs
         before, after = [*range(-1, n - 1)], [*range(1, n), -1]
@@ -190,26 +244,49 @@ def bpe(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id
     def encoder():
         own, lexicon = shared.value, transducer.Lexicon(SparkFiles.get(name))
 
+        split: dict[str, list[str]] = {}
+        ready: dict[str, bytes] = {}
+
         def one(piece: str) -> bytes:
+            if (found := ready.get(piece)) is not None:
+                return found
             raw = piece.encode("utf-8")
             return pack_ids(own.encode(raw)) if (found := lexicon.get(raw)) is None else found
 
         pieces = Memo(one, MEMO_PIECES)
+        memo = Memo(lambda word: b"".join([pieces[p] for p in split.get(word) or pieces_of(word)]), MEMO_WORDS)
+
+        def prepare(words: set[str]) -> None:
+            """What words need that isn't remembered, merged together: they are looked up afterwards."""
+            split.clear()
+            ready.clear()
+            split.update((w, pieces_of(w)) for w in words if w not in memo and w not in memo.older)
+            rest, raws = [], []
+            for piece in set(chain.from_iterable(split.values())):
+                if piece not in pieces and piece not in pieces.older:
+                    raw = piece.encode("utf-8")
+                    if (found := lexicon.get(raw)) is not None:
+                        ready[piece] = found
+                    else:
+                        rest.append(piece)
+                        raws.append(raw)
+            ready.update(zip(rest, own.encode_many(raws)))
+
         special = re.compile("(" + "|".join(map(re.escape, sorted(own.special, key=len, reverse=True))) + ")") if own.special else None
         names = [own.names.get(i, "") for i in range(max(own.names) + 1)]
-        return Memo(lambda word: b"".join([pieces[p] for p in pieces_of(word)]), MEMO_WORDS), special, {k: pack_ids([v]) for k, v in own.special.items()}, names
+        return prepare, memo, special, {k: pack_ids([v]) for k, v in own.special.items()}, names
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo, special, special_ids, names = kept(f"bpe {name} {tokenizer}", encoder)
-        ids, decoded = [], []
-        for x in texts_of(batch.column("text")):
-            parts = _special_split(x, special)
-            if len(parts) == 1:
-                packed = b"".join([memo[w] for w in words_of(x)])
-            else:
-                packed = b"".join([special_ids[part] if k % 2 else b"".join([memo[w] for w in words_of(part)]) for k, part in enumerate(parts)])
-            ids.append(packed)
-            decoded.append(" ".join([names[i] for i in memoryview(packed).cast("I").tolist()]))
+        prepare, memo, special, special_ids, names = kept(f"bpe {name} {tokenizer}", encoder)
+        ids, decoded, texts = [], [], texts_of(batch.column("text"))
+        for start, stop in in_portions([len(x) for x in texts], PORTION):
+            # Every other part is a special token, which stands for itself.
+            found = [[part if k % 2 else words_of(part) for k, part in enumerate(_special_split(x, special))] for x in texts[start:stop]]
+            prepare(set(chain.from_iterable(words for parts in found for words in parts[::2])))
+            for parts in found:
+                packed = b"".join([special_ids[part] if k % 2 else b"".join([memo[w] for w in part]) for k, part in enumerate(parts)])
+                ids.append(packed)
+                decoded.append(" ".join([names[i] for i in memoryview(packed).cast("I").tolist()]))
         return batch_of(["doc_id", "n_tokens", "ids", "decoded"], [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())])
 
     kind = df.schema[doc_id].dataType.simpleString()

@@ -631,3 +631,20 @@ def test_line_dedup_leaves_no_shuffles_and_few_checkpoints(spark):
     assert [x.n_dropped for x in out.orderBy("doc_id").collect()] == [0] * 50 + [20] * 450
     # Neither keys nor lines stay until the driver collects its garbage; what is returned is stored once.
     assert after[1] - before[1] < 50_000 and after[0] - before[0] < 500_000, (before, after)
+
+
+def test_pieces_merged_side_by_side_are_those_merged_alone(monkeypatch):
+    # Each rare piece was merged by itself, which took most of op5's time.
+    import random
+
+    from kinweave.llm import bpe
+    from kinweave.llm.queries import word_bpe_path
+
+    merges, r = bpe.Merges.load(word_bpe_path()), random.Random(3)
+    pieces = [b"", b"a", "é漢".encode(), b"abab" * 40, b"aaaaaaa", bytes([255, 0, 255])]
+    pieces += ["".join(r.choices("etaoinshrdlu0é漢", k=r.randrange(1, 50))).encode() for _ in range(3000)]
+    wanted = [bpe.pack_ids(merges.encode(x)) if x else b"" for x in pieces]
+    monkeypatch.setattr(bpe, "ROWS", 7)
+    assert merges.encode_many(pieces) == wanted
+    monkeypatch.setattr(bpe, "ROWS", 8_192)
+    assert merges.encode_many(pieces) == wanted
