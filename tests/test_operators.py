@@ -230,3 +230,30 @@ def test_isolation_keeps_sets_apart(spark):
     pairs = spark.createDataFrame([("x", f"q{i}", str((i + 1) % 60)) for i in range(60)], "country string, query_id string, ref_id string")
     out = splits.isolation(queries, pairs, roles, 2, 1)
     assert out.where("eval and train").count() == 0 and out.where("eval").count() >= 10
+
+
+def test_pair_features_are_those_of_the_terms(spark):
+    # Each text was cleaned and cut into trigrams again for every kind of term: 0.1 GB took too long.
+    from pyspark.ml.feature import HashingTF
+
+    from kinweave.functions import text as T
+    from kinweave.operators import models
+
+    texts = ["", " | ", "Café Łódź GmbH | 12 Rue de l'Œuvre", "cafe lodz gmbh | 12 rue", "東京都 港区 | 1-2-3", "a", "a b", "ﬁne Ⅷ 😀 x𝔘y", "नमस्ते दुनिया", "aaa aaaa aaaaa", "İstanbul\tA\n.Ş", "x" * 300]
+    df = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    a, b = (F.array_distinct(T.trigrams(T.clean_words(F.col(c)))) for c in ("a", "b"))
+    tagged = lambda tag, grams: F.transform(grams, lambda g: F.concat(F.lit(tag), g))
+    share = F.floor(10 * F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))).cast("int")
+    grades = F.transform(F.sequence(F.lit(0), share), lambda i: F.concat(F.lit("j"), i.cast("string")))
+    terms = df.withColumn("terms", F.concat(tagged("=", F.array_intersect(a, b)), tagged("<", F.array_except(a, b)), tagged(">", F.array_except(b, a)), grades))
+    for size in (1 << 14, 97):
+        wanted = HashingTF(inputCol="terms", outputCol="features", numFeatures=size, binary=True).transform(terms).select("i", "j", "features")
+        coded = models.HashedPairScorer(features=size)._coded(df)
+        assert sorted(coded.select("i", "j", "features").collect(), key=lambda r: r[:2]) == sorted(wanted.collect(), key=lambda r: r[:2])
+        assert coded._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    cleaned = df.select("i", "j", *[models.HashedPairScorer.clean(F.col(c)).alias(c) for c in ("a", "b")])
+    features = lambda scorer, rows: sorted(scorer._coded(rows).select("i", "j", "features").collect(), key=lambda r: r[:2])
+    assert features(models.HashedPairScorer(cleaned=True), cleaned) == features(models.HashedPairScorer(), df)
+    labelled = df.withColumn("label", F.col("i") == F.col("j"))
+    scored = models.HashedPairScorer(iterations=5).fit(labelled).score(labelled)
+    assert scored.columns == ["i", "j", "a", "b", "label", "text_score"] and scored.where("label").agg(F.min("text_score")).first()[0] > 0
