@@ -102,3 +102,28 @@ def test_very_long_line_and_ties(spark):
     long = "a" * 100_000
     df = spark.createDataFrame([(2, long), (1, long + "b"), (3, long[:-1])], "doc_id long, text string")
     assert {r.doc_id: r.n_dropped for r in linededup.repeated(df).collect()} == {1: 0, 2: 1, 3: 1}
+
+
+def test_lines_are_not_gone_through_for_what_they_do_not_hold(monkeypatch):
+    # Normal lines were cut into words and put together, and every letter was held against seven ranges of scripts.
+    from kinweave.llm import linededup
+
+    class Line(str):
+        def lower(self):
+            return Line(super().lower())
+
+        def split(self, *a):
+            raise AssertionError("a normal line needs no cutting")
+
+    class Ranges(tuple):
+        def __iter__(self):
+            raise AssertionError("no letter is near these scripts")
+
+    line = "Ein Satz für die Probe, " * 8 + "ende"
+    assert linededup.normal(Line(line)) == line.lower()
+    odd = ["", " ", "a", " a", "a ", "a  b", "a\tb", "a　b", "a b", "a​b", "a\x1fb", "a b", "İ Σ", "ΑΣ", "x\ud800y", "東京 都"]
+    assert [linededup.normal(x) for x in odd] == [" ".join(x.lower().split()) for x in odd]
+    wanted = linededup.word_keys([line, line + " x"], 100)
+    monkeypatch.setattr(linededup, "UNSPACED", Ranges(linededup.UNSPACED))
+    assert all((a == b).all() for a, b in zip(wanted, linededup.word_keys([line, line + " x"], 100)))
+    assert len(wanted[0]) and len(wanted[2])
