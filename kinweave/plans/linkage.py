@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.similarity import fold
-from ..operators import decisions, exports, features, models, priors, records, retrieval, splits
+from ..operators import batches, decisions, exports, features, models, priors, records, retrieval, splits
 from .stages import Stage
 
 
@@ -64,20 +64,22 @@ def reference_side(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     return refs.join(claimed, ["country", "entity_id"], "left").withColumn("r_claims", F.coalesce("r_claims", F.lit(0)))
 
 
+def with_context(stats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidate pairs with each query's context."""
+    sizes = references(stats).groupBy("country").agg(F.count(F.lit(1)).alias("refs"))
+    return pairs.join(retrieval.context(pairs, sizes), ["country", "query_id"])
+
+
 def pair_rows(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     """Candidate pairs with both sides' columns and each query's context."""
-    sizes = references(stats).groupBy("country").agg(F.count(F.lit(1)).alias("refs"))
-    described = pairs.join(retrieval.context(pairs, sizes), ["country", "query_id"])
-    return features.sides(described, query_side(stats), reference_side(stats, pairs)).withColumn("q_vocab_min", F.col("q_vocab_min"))
+    return features.sides(with_context(stats, pairs), query_side(stats), reference_side(stats, pairs)).withColumn("q_vocab_min", F.col("q_vocab_min"))
 
 
 def pair_features(inputs: dict, settings: dict) -> DataFrame:
+    """Both kinds of features of each pair, with its owner and label; settings may have them as stored vectors, for a reader of many passes, and keep columns of queries."""
     stats, pairs = inputs["prepared"], inputs["candidates"]
-    rows = pair_rows(stats, pairs)
-    # Both kinds are columns of one row: no pair is joined with itself.
-    both = features.all_features(rows, priors.vocabulary(references(stats)))
-    owners = noisy(stats).select("country", F.col("entity_id").alias("query_id"), "owner_id")
-    return both.join(owners, ["country", "query_id"]).withColumn("label", F.coalesce(F.col("owner_id") == F.col("ref_id"), F.lit(False)))
+    both = batches.described(with_context(stats, pairs), query_side(stats), reference_side(stats, pairs), perturb=True, keep=("owner_id", *settings.get("keep", ())), vectors=settings.get("vectors", False))
+    return both.withColumn("label", F.coalesce(F.col("owner_id") == F.col("ref_id"), F.lit(False)))
 
 
 def scored_pairs(inputs: dict, settings: dict) -> DataFrame:
