@@ -31,10 +31,10 @@ PAIRS, MOST_TEXTS, MOST_GRAMS = 4_096, 50_000, 1_000_000
 
 
 def train_trees(rows: DataFrame, features: list[str], label: str = "label", **budget) -> PipelineModel:
-    """Gradient-boosted trees on the named columns: the same rows and budget give the same model."""
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    """Gradient-boosted trees on the named columns, or on rows' vectors of them: the same rows and budget give the same model."""
+    assembler = [] if "features" in rows.columns else [VectorAssembler(inputCols=features, outputCol="features")]
     trees = GBTClassifier(labelCol=label, featuresCol="features", **(FIRST | budget))
-    return Pipeline(stages=[assembler, trees]).fit(rows.withColumn(label, F.col(label).cast("double")))
+    return Pipeline(stages=[*assembler, trees]).fit(rows.withColumn(label, F.col(label).cast("double")))
 
 
 def score_trees(rows: DataFrame, model: PipelineModel, keep: list[str]) -> DataFrame:
@@ -51,7 +51,8 @@ def first_trees(model: PipelineModel, n: int) -> tuple[list, list[float]]:
 def score_first_trees(rows: DataFrame, model: PipelineModel, keep: list[str], n: int) -> DataFrame:
     """As score_trees(), with the first n trees only: their weighted votes through the model's own link."""
     chosen, weights = first_trees(model, n)
-    rows = model.stages[0].transform(rows)
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
     margin = F.lit(0.0)
     for i, (tree, w) in enumerate(zip(chosen, weights)):
         # The column names differ by tree, so one plan holds all of them.

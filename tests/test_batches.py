@@ -67,3 +67,16 @@ def test_pairs_are_described_in_one_step(spark):
 
     plan = QUERIES["pair_features_base"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "array_sort" not in plan and "regexp" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+def test_trees_read_stored_vectors(spark, monkeypatch):
+    # Each of four passes described all pairs again, and found by md5 of each pair's query whether it teaches.
+    from kinweave.plans import queries
+
+    read = []
+    fit = linkage.fit_and_score
+    monkeypatch.setattr(linkage, "fit_and_score", lambda rows, teach, settings: read.append(teach._jdf.queryExecution().optimizedPlan().toString()) or fit(rows, teach, settings))
+    out = queries.QUERIES["gbt_match"](spark, DATA)
+    assert out.columns == ["country", "query_id", "ref_id", "score", "label"] and out.count() > 0
+    assert read[0].count("MapInArrow") == 1 and "Join" not in read[0] and "md5" not in read[0]
